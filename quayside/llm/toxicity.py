@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import Scratch, U, expand, mix, prefix_hash, remainder, sized, span_hash, tune
 
-BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 8, (3, 4, 5)
+BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 3, (3, 4, 5)
 #: Bound of the sample that the model is fitted on: labelled rows of each class, and bytes of a text in it.
 ROWS_PER_CLASS, MAX_TEXT = 2000, 1 << 14
 #: Characters that are turned into arrays at once.
