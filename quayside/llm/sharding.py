@@ -29,12 +29,13 @@ def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: i
     Per round, only cells of one hash parity may move, so neighbours don't swap places.
     """
     several = cells.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
+    largest = cells.agg(F.max("weight")).first()[0] or 0  # a shard takes part while it has room for any cell
     state = scratch.write(cells.join(several, "group", "left_semi").withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)).cast("int")), "labels-0")
     for i in range(1, rounds + 1):
         load = {r["shard"]: r["w"] for r in state.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
         free = {s: quota - load.get(s, 0) for s in range(shards)}
         room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, free[s])]), F.col("shard"))
-        votes = state.groupBy("group", "shard").agg(F.sum("weight").alias("votes")).withColumn("open", room > 0)
+        votes = state.groupBy("group", "shard").agg(F.sum("weight").alias("votes")).withColumn("open", room >= largest)
         best = votes.groupBy("group").agg(F.max(F.when(F.col("open"), F.struct("votes", -F.col("shard")))).alias("b")).select("group", F.col("b.votes").alias("best"), (-F.col("b.col2")).alias("to"))
         seen = state.join(best, "group").join(votes.select("group", "shard", "votes"), ["group", "shard"])
         wants = (F.col("to") != F.col("shard")) & ((F.col("best") > F.col("votes")) | (F.col("best") == F.col("votes")) & (F.col("to") < F.col("shard")))

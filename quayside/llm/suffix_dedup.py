@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quayside.llm.common import _BYTE, Scratch, U, byte_list, chunked, prefix_hash, sized, span_hash, tune
 
@@ -330,9 +331,20 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch, min_b
     return out
 
 
-def number_rows(docs: DataFrame) -> DataFrame:
-    """Documents with a number for each row, the same in every pass over the same files (and so also where ids repeat)."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+#: Added by the functions below; a column of this name in the input is replaced.
+ROW, SPANS = "__row", "__spans"
+
+
+def with_spans(spark: SparkSession, docs: DataFrame, min_bytes: int, group: int = GROUP) -> DataFrame:
+    """``docs`` with all its columns and ``__spans``; see :func:`suffix_spans`."""
+    tune(spark)
+    scratch = Scratch(spark, "suffix-dedup")
+    # a number for each row, so that repeated ids do no harm; over plain files it is the same in every pass
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = rows if _stable(docs) else scratch.write(rows, "rows")
+    spans = repeated_spans(spark, rows.select(F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")), scratch, min_bytes, group)
+    size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    return rows.drop(SPANS).join(sized(spans.select(F.col("row").alias(ROW), F.col("spans").alias(SPANS)), size, EXTENTS), ROW, "left").drop(ROW)
 
 
 def suffix_spans(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, group: int = GROUP) -> DataFrame:
@@ -342,13 +354,44 @@ def suffix_spans(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, gro
     Ranges are maximal, in order and apart. Edge cases: null and short texts have none (null spans); rows with a null or
     repeated doc_id count as texts of their own; an empty table gives an empty result.
     """
-    tune(spark)
-    scratch = Scratch(spark, "suffix-dedup")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = number_rows(rows) if _stable(docs) else scratch.write(number_rows(rows), "rows")
-    spans = repeated_spans(spark, rows, scratch, min_bytes, group)
-    size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return rows.join(sized(spans, size, EXTENTS), "row", "left").drop("row")
+    out = with_spans(spark, docs, min_bytes, group)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(SPANS).alias("spans"))
+
+
+def _keep(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, at = batch.schema.names, batch.schema.get_field_index("text")
+            texts = []
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(SPANS)).to_pylist(), strict=True):
+                if spans:
+                    data, out, last = text.encode(), [], 0
+                    for s in spans:
+                        if len(data[s["a"] : s["b"]].split()) > min_words:
+                            out.append(data[last : s["a"]])
+                            last = s["b"]
+                    # a span may start or end inside a character; what is left of it goes
+                    text = "".join(x.decode("utf-8", "ignore") for x in [*out, data[last:]])
+                texts.append(text)
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i, name in enumerate(names) if name != SPANS]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != SPANS])
+
+    return run
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 240, min_words: int = 50, group: int = GROUP) -> DataFrame:
+    """``docs`` without passages of more than ``min_words`` words that repeat: of the maximal runs of bytes covered by strings of
+    ``min_bytes`` bytes that start twice in the table, those with more words go, in all their occurrences; shorter ones stay.
+
+    All columns are kept; n_chars, if there, is set to the characters left in texts that changed. A text may become empty; no row goes.
+    """
+    found = with_spans(spark, docs, min_bytes, group)
+    found = found.withColumn("text", F.col("text").cast("string"))
+    schema = StructType([f for f in found.schema.fields if f.name != SPANS])
+    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(_keep(min_words), schema)
+    if "n_chars" in docs.columns:
+        touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    return found.where(F.col(SPANS).isNull()).drop(SPANS).unionByName(touched)
 
 
 def _stable(docs: DataFrame) -> bool:
