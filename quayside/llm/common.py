@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are expanded into numpy arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Most rows that any operator here broadcasts; larger sides are shuffled instead.
 BROADCAST_ROWS = 500_000
 
@@ -25,9 +25,9 @@ BROADCAST_ROWS = 500_000
 # --- session and scratch ------------------------------------------------------------------------------------------
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, megabytes: int = 4) -> None:
     """Bound the Arrow batches that Python workers receive by bytes, as documents vary in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 class Scratch:
@@ -110,7 +110,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         p = _POWERS[i]
         while len(p) < n:
             p = np.concatenate([p, p * U(pow(base, len(p), 1 << 64))])
-        if len(p) <= 8 << 20:
+        if len(p) <= 1 << 21:
             _POWERS[i] = p
         out.append(p[:n])
     return out[0], out[1]
