@@ -12,8 +12,8 @@ Plan
    enhanced suffix array over the suffixes at the anchors (with its twin over the reversed prefixes) is stack-scanned: each
    common-prefix interval merges its children, its left-extension diversity is the set of distinct left contexts, and where a
    merge brings two occurrences together whose left and right extension reach ``min_bytes``, a maximal repeat is found.
-4. More regions under one hash than that (a passage with thousands of contexts) are never gathered: their windows are hashed
-   (128 bits) and counted with partial aggregation, and the windows that occur twice are joined back.
+4. More regions under one hash than that (a passage with thousands of contexts) are never gathered: classes of their windows are
+   hashed (128 bits) and counted with partial aggregation, and those not yet decided are cut finer, down to single windows.
 5. Covered extents go back to all occurrences of a region, then to their documents.
 
 Nothing is dropped, capped or sampled; a hash, digest or window count decides only between equal 128-bit values.
@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quayside.llm.common import _BYTE, Scratch, U, byte_list, chunked, prefix_hash, sized, span_hash, tune
+from quayside.llm.common import _BYTE, byte_list, chunked, prefix_hash, Scratch, sized, span_hash, trimmed, tune, U
 
 #: Different regions under one anchor hash that one task compares.
 GROUP = 192
+#: Window starts in a class, level by level, where more regions meet.
+LEVELS = (24, 4, 1)
 #: Rows of (document, extents) that a join broadcasts; beyond it, the join shuffles.
 EXTENTS = 200_000
 
@@ -255,26 +257,37 @@ def _compare(size: int):
     return run
 
 
-def _windows(size: int):
-    """One row per window of each region: its 128-bit hash and its start relative to the anchor."""
+def _classes(size: int, width: int):
+    """From (anchor, digest, before, region, ranges): every range of window starts cut into classes of ``width`` starts at a
+    grid that is fixed to the anchor; with the hashes of the core that all windows of a grid cell share and of all that the
+    class spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.to_pydict()
             rows: list[tuple] = []
-            for digest, anchor, before, region in zip(columns["digest"], columns["anchor"], columns["before"], columns["region"], strict=True):
-                rows += [(hashlib.blake2b(region[i : i + size], digest_size=16).digest(), digest, anchor, i - before) for i in range(len(region) - size + 1)]
-                if len(rows) > 20_000:
-                    yield _window_batch(rows)
+            for anchor, digest, before, region, ranges in zip(*(columns[c] for c in ("anchor", "digest", "before", "region", "ranges")), strict=True):
+                for r in ranges:
+                    at = r["a"]
+                    while at < r["b"]:
+                        cell = at // width * width
+                        stop = min(r["b"], cell + width)
+                        name = anchor.to_bytes(8, "big", signed=True)
+                        core = name + cell.to_bytes(4, "big", signed=True) + region[cell + width - 1 + before : cell + before + size]
+                        full = name + at.to_bytes(4, "big", signed=True) + stop.to_bytes(4, "big", signed=True) + region[at + before : stop - 1 + before + size]
+                        rows.append((hashlib.blake2b(core, digest_size=16).digest(), hashlib.blake2b(full, digest_size=16).digest(), anchor, digest, at, stop))
+                        at = stop
+                if len(rows) > 10_000:
+                    yield _class_batch(rows)
                     rows = []
-            yield _window_batch(rows)
+            yield _class_batch(rows)
 
     return run
 
 
-def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["window", "digest", "anchor", "start"])
+def _class_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["core", "full", "anchor", "digest", "a", "b"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,34 +311,56 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"a": a, "b": b} for a, b in x] for x in merged], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["row", "spans"])
 
 
+def _hot_extents(scratch: Scratch, hot: DataFrame, size: int) -> DataFrame | None:
+    """Covered extents of regions that are too many under one anchor to meet in one task, level by level.
+
+    The windows of a region are cut into classes of neighbouring starts. A class that stands twice in full is covered as a whole,
+    and one row stands for all its copies from then on; a class whose core stands once holds no repeat; only what is left, classes
+    at the edges of what is shared, is cut finer, down to single windows. All counts are partially aggregated.
+    """
+    if hot.isEmpty():
+        return None
+    ranges = F.array(F.struct((-F.col("before")).alias("a"), (F.length("region") - size + 1 - F.col("before")).cast("int").alias("b")))
+    active, found = hot.withColumn("ranges", ranges), None
+    for i, width in enumerate(min(w, size) for w in LEVELS):  # a cell's windows have at least no byte in common
+        rows = scratch.write(active.mapInArrow(trimmed(_classes(size, width)), "core binary, full binary, anchor long, digest binary, a int, b int"), f"classes-{i}")
+        whole = scratch.write(rows.groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "digest", "a", "b", "core")).alias("one")), f"whole-{i}")
+        hits = rows.join(whole.where("n > 1").select("full"), "full", "left_semi").select("anchor", "digest", F.struct("a", (F.col("b") - 1 + size).alias("b")).alias("s"))
+        found = hits if found is None else found.unionByName(hits)
+        if width > 1:
+            left = whole.select("one.*")
+            shared = scratch.write(left.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), f"shared-{i}")
+            again = left.join(shared, "core", "left_semi").groupBy("anchor", "digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+            active = hot.join(again, ["anchor", "digest"])
+    return found.groupBy("anchor", "digest").agg(F.collect_list("s").alias("spans")).select("digest", "anchor", "spans")
+
+
 def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch, min_bytes: int, group: int = GROUP) -> DataFrame:
     """(row, spans): for each text of ``rows`` (row, text) that has any, the byte ranges covered by a string of ``min_bytes``
     bytes that also starts elsewhere in the table."""
     gram = max(1, min_bytes * 2 // 5)
     texts = rows.select("row", "text")
-    found = scratch.write(texts.where(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_rows(min_bytes, gram), "anchor long, row long, place long, before int, behind int, digest binary"), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    found = scratch.write(texts.where(F.octet_length("text") >= min_bytes).mapInArrow(trimmed(_anchor_rows(min_bytes, gram)), "anchor long, row long, place long, before int, behind int, digest binary"), "anchors")
+    # a table of its own, so that both sides of the join are plain shuffles, of which a skewed one can be split
+    often = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     shared = scratch.write(found.join(often, "anchor", "left_semi"), "shared")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "often")
     one = F.min(F.struct("row", "place", "before", "behind")).alias("one")
     regions = scratch.write(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), one).select("anchor", "digest", "n", "one.*"), "regions")
-    many = regions.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    many = scratch.write(regions.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "many")
     apart = regions.join(many, "anchor")
     by_text = scratch.write(apart.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "place", "before", "behind", "m")).alias("regions")), "by-text")
-    size = by_text.agg(F.sum(F.size("regions"))).first()[0] or 0
-    cut = scratch.write(texts.join(sized(by_text, size, EXTENTS), "row").select("text", "regions").mapInArrow(_cut, "anchor long, digest binary, before int, m long, region binary"), "cut")
-    scratch.drop("by-text")
+    cut = scratch.write(texts.join(by_text, "row").select("text", "regions").mapInArrow(trimmed(_cut), "anchor long, digest binary, before int, m long, region binary"), "cut")
+    scratch.drop("many", "by-text")
     kind = "digest binary, anchor long, spans array<struct<a:int,b:int>>"
-    few = cut.where(F.col("m") <= group).select("anchor", "digest", "before", "region").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(min_bytes), kind)
-    window = scratch.write(cut.where(F.col("m") > group).select("anchor", "digest", "before", "region").mapInArrow(_windows(min_bytes), "window binary, digest binary, anchor long, start int"), "windows")
-    twice = window.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = window.join(twice, "window", "left_semi").groupBy("digest", "anchor").agg(F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + min_bytes).alias("b"))).alias("spans"))
-    extents = scratch.write(few.unionByName(hot), "extents")
-    scratch.drop("cut", "windows")
+    few = cut.where(F.col("m") <= group).select("anchor", "digest", "before", "region").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_compare(min_bytes)), kind)
+    hot = _hot_extents(scratch, scratch.write(cut.where(F.col("m") > group).select("anchor", "digest", "before", "region"), "hot"), min_bytes)
+    extents = scratch.write(few.unionByName(hot) if hot else few, "extents")
+    scratch.drop("cut")
     copies = regions.where("n > 1").select("anchor", "digest", F.array(F.struct((-F.col("before")).alias("a"), F.col("behind").alias("b"))).alias("spans"))
     all_extents = copies.unionByName(extents.join(copies.select("anchor", "digest"), ["anchor", "digest"], "left_anti").select("anchor", "digest", "spans"))
     hits = shared.join(all_extents, ["anchor", "digest"]).select("row", F.transform("spans", lambda s: F.struct((F.col("place") + s["a"]).alias("a"), (F.col("place") + s["b"]).alias("b"))).alias("spans"))
-    spans = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(_merge_spans, "row long, spans array<struct<a:bigint,b:bigint>>")
+    spans = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(trimmed(_merge_spans), "row long, spans array<struct<a:bigint,b:bigint>>")
     out = scratch.write(spans, "spans")
     scratch.drop("shared", "regions", "extents")
     return out
@@ -388,7 +423,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 240,
     found = with_spans(spark, docs, min_bytes, group)
     found = found.withColumn("text", F.col("text").cast("string"))
     schema = StructType([f for f in found.schema.fields if f.name != SPANS])
-    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(_keep(min_words), schema)
+    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(trimmed(_keep(min_words)), schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return found.where(F.col(SPANS).isNull()).drop(SPANS).unionByName(touched)
@@ -421,4 +456,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_report(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, group: int = GROUP) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the bytes outside :func:`suffix_spans`)."""
-    return suffix_spans(spark, docs, min_bytes, group).select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return suffix_spans(spark, docs, min_bytes, group).select("doc_id", "text", "spans").mapInArrow(trimmed(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
