@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, expand, mix, span_hash, prefix_hash, tune
+from quayside.llm.common import expand, mix, prefix_hash, span_hash, trimmed, tune, U
 
 #: Characters that are cut into words at once.
 CHUNK_CHARS = 1 << 20
@@ -325,7 +325,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """
     tune(spark, 16)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(_share(spark, path), False), "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(trimmed(_encode(_share(spark, path), False)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def bpe_decode(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
@@ -338,7 +338,7 @@ def bpe_decode(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
             ids = np.array([i for x in lists for i in x], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decode(shared.value, ids, np.array([len(x) for x in lists], np.int64)), pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
@@ -346,4 +346,4 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame
     decoded_sha256. Edge cases as in :func:`bpe_encode`."""
     tune(spark, 16)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(_share(spark, path), True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(trimmed(_encode(_share(spark, path), True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

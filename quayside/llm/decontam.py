@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Scratch, Words, byte_list, chunked, expand, sized, tune
+from quayside.llm.common import byte_list, chunked, expand, Scratch, sized, trimmed, tune, Words
 
 #: Bytes of benchmark text that are sent to the workers at once; a longer benchmark takes several passes.
 BLOCK_BYTES = 16 << 20
@@ -178,12 +178,12 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     blocks = _blocks(benchmark, block_bytes)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n), _SCHEMA).drop("row")
+        return rows.mapInArrow(trimmed(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n)), _SCHEMA).drop("row")
     scratch = Scratch(spark, "decontam")
     rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbers each row once, for all passes
     out, i = None, 0
     while block is not None:
-        part = scratch.write(rows.mapInArrow(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n), _SCHEMA), f"pass-{i}")
+        part = scratch.write(rows.mapInArrow(trimmed(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n)), _SCHEMA), f"pass-{i}")
         out = part if out is None else out.unionByName(part)
         block, following, i = following, next(blocks, None), i + 1
     return out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
@@ -208,7 +208,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
     """Per document: doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 (of the sorted item ids, comma-joined)
     and contaminated. See :func:`verbatim_matches`."""
     found = verbatim_matches(spark, docs, benchmark, n, **options).select("doc_id", "n_words", "matches")
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(trimmed(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SOLID, Scratch, U, Words, byte_list, chunked, mix, remainder, tune
+from quayside.llm.common import byte_list, chunked, mix, remainder, Scratch, SOLID, trimmed, tune, U, Words
 
 #: Buckets of n-gram hashes, each a segment of the filter.
 SEGMENTS = 512
@@ -302,9 +302,9 @@ def _score(shared):
 
 def train(spark: SparkSession, scratch: Scratch, texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """Count all of ``texts`` (one column of text) and build the model; also returns (h, c), the exact counts of all types."""
-    packed = texts.mapInArrow(_count, _PACKED).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    counts = scratch.write(packed.mapInArrow(_merge, _PACKED), "counts")
-    types = scratch.write(counts.where("kind = 0").select("keys", "counts", "large").mapInArrow(_types, "h long, c long"), "types")
+    packed = texts.mapInArrow(trimmed(_count), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    counts = scratch.write(packed.mapInArrow(trimmed(_merge), _PACKED), "counts")
+    types = scratch.write(counts.where("kind = 0").select("keys", "counts", "large").mapInArrow(trimmed(_types), "h long, c long"), "types")
     sums = types.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # the lowest count of which the types down to it number at most ``head``
     by_size = types.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
@@ -315,7 +315,7 @@ def train(spark: SparkSession, scratch: Scratch, texts: DataFrame, filter_bytes:
         lowest = r["c"]
     table = types.where(F.col("c") >= lowest).toPandas()
     largest = max(1, filter_bytes // 8 // SEGMENTS)
-    segments = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segment(largest), "bucket int, words binary")
+    segments = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_segment(largest)), "bucket int, words binary")
     model = Model({r["bucket"]: bytes(r["words"]) for r in segments.toLocalIterator()}, table["h"].to_numpy(np.int64).view(np.uint64), table["c"].to_numpy(np.int64), sums["n"], sums["v"])
     return model, types
 
@@ -335,7 +335,7 @@ def lm_score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int =
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
     model, types = train(spark, scratch, rows.where(~F.col("held_out")).select("text"), filter_bytes, head)
-    out = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long")
+    out = rows.mapInArrow(trimmed(_score(spark.sparkContext.broadcast(model))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long")
     out = scratch.write(out, "scores")
     norm = float(np.log10(model.tokens + model.types + 1))
     rare = out.where("h is not null").select("row", "h", "times").join(types, "h", "left")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Scratch, Words, byte_list, chunked, mix, shingles, sized, tune, U
+from quayside.llm.common import byte_list, chunked, mix, Scratch, shingles, sized, trimmed, tune, U, Words
 from quayside.llm.graph import components
 
 #: Representatives of a cluster that one task compares with each other or with another block.
@@ -205,27 +205,28 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, n
     scratch = Scratch(spark, "ngram-join")
     bands, rows = band_shape(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.write(docs.mapInArrow(_sketch(n, bands, rows), "doc_id long, digest binary, size long, bands array<long>"), "sketch")
+    sketch = scratch.write(docs.mapInArrow(trimmed(_sketch(n, bands, rows)), "doc_id long, digest binary, size long, bands array<long>"), "sketch")
     known = sketch.where("doc_id is not null and size > 0")
     reps = scratch.write(known.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "bands")).alias("r"), F.count("*").alias("copies")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), "copies", F.col("r.bands").alias("bands")), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
+    # a table of its own, so that both sides of the join are plain shuffles, of which a skewed one can be split
+    hubs = scratch.write(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub"), "hubs")
     edges = buckets.join(hubs, "bucket").where("rep != hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     clusters = scratch.write(components(scratch, edges, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "clusters")
     members = scratch.write(reps.select("rep", "digest", "size", "copies").join(clusters, "rep"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    grams = docs.join(sized(ids, members.count()), "doc_id", "left_semi").select("text").mapInArrow(_cut_shingles(n), "digest binary, grams binary")
+    grams = docs.join(sized(ids, members.count()), "doc_id", "left_semi").select("text").mapInArrow(trimmed(_cut_shingles(n)), "digest binary, grams binary")
     if not sketch.groupBy("doc_id").count().where("count > 1").join(ids, "doc_id", "left_semi").isEmpty():
         grams = grams.dropDuplicates(["digest"])  # repeated rows
     grams = scratch.write(grams, "grams")
     tasks = _tasks(members, threshold, block)
     dealt = tasks.join(grams, "digest").repartition("task").sortWithinPartitions("task")
-    found = scratch.write(dealt.select("task", "rep", "copies", "side", "grams").mapInArrow(_verify(threshold), "u long, v long, links long"), "found")
+    found = scratch.write(dealt.select("task", "rep", "copies", "side", "grams").mapInArrow(trimmed(_verify(threshold)), "u long, v long, links long"), "found")
     classes = components(scratch, found.where("v is not null").select("u", "v"), "classes")
     links = found.where("v is null and links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     by_rep = reps.select("digest", "rep", "copies").join(links, reps.rep == links.u, "left").drop("u").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("digest", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    scratch.drop("members", "grams")
+    scratch.drop("hubs", "members", "grams")
     linked = sketch.select("doc_id", F.when(F.expr("doc_id is not null and size > 0"), F.col("digest")).alias("digest")).join(by_rep, "digest", "left")
     return linked.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep_id", "doc_id").alias("rep_id"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import SOLID, Scratch, U, Words, byte_list, chunked, prefix_hash, remainder, span_hash, tune, _BYTE
+from quayside.llm.common import _BYTE, byte_list, chunked, prefix_hash, remainder, Scratch, SOLID, span_hash, trimmed, tune, U, Words
 from quayside.llm.toxicity import known_labels
 
 FEATURES = ["length", "upper", "digit", "beyond", "space", "stop", "mark", "symbol", "bar", "other", "word_length", "distinct", "echo", "top", "line_length", "line_repeat"]
@@ -134,7 +134,7 @@ def _score(model: Discriminant | None, constant: float, threshold: float):
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and x, the features of each whole text in the order of ``FEATURES``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"))
-    return rows.mapInArrow(_features, "doc_id long, held_out boolean, x array<double>")
+    return rows.mapInArrow(trimmed(_features), "doc_id long, held_out boolean, x array<double>")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = ROWS_PER_CLASS) -> DataFrame:
@@ -158,4 +158,4 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     both = 0 < y.sum() < len(y)
     total = sum(there.values())
     model = Discriminant.fit(np.array([r["x"] for r in picked]), y, np.array([there[0], there[1]]) / total) if both else None
-    return features.mapInArrow(_score(model, there.get(1, 0) / total if total else 0.5, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return features.mapInArrow(trimmed(_score(model, there.get(1, 0) / total if total else 0.5, threshold)), "doc_id long, held_out boolean, score double, predicted int")

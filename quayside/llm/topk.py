@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Scratch, tune
+from quayside.llm.common import Scratch, trimmed, tune
 
 #: Values (components) of queries that are sent to the workers at once.
 BLOCK_VALUES = 2_000_000
@@ -173,7 +173,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
                     search(view, q[at : at + 256], q_id[at : at + 256], [segments(q[at : at + 256], p) for p in LEVELS], x, probe["vec_id"].to_numpy()[same])
                     best.add(view.query + at, view.score, view.id)
             shared.append((q_id, q, best.floor))
-        part = candidates.mapInArrow(_partition(spark.sparkContext.broadcast(shared), k), "query_id long, vec_id long, score long")
+        part = candidates.mapInArrow(trimmed(_partition(spark.sparkContext.broadcast(shared), k)), "query_id long, vec_id long, score long")
         done = scratch.write(part, f"block-{i}")
         out = done if out is None else out.unionByName(done)
     if out is None:

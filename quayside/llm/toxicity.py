@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import Scratch, U, expand, mix, prefix_hash, remainder, sized, span_hash, tune
+from quayside.llm.common import expand, mix, prefix_hash, remainder, Scratch, sized, span_hash, trimmed, tune, U
 
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 3, (3, 4, 5)
 #: Bound of the sample that the model is fitted on: labelled rows of each class, and bytes of a text in it.
@@ -259,7 +259,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     taken = truth.sum()
     shift = np.log(there[1] / there[0] * (len(truth) - taken) / taken) if 0 < taken < len(truth) else 0.0
     shared = spark.sparkContext.broadcast((model.weight.astype(np.float64), model.offset + float(shift)))
-    return rows.select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(_score(shared, min(model.prior, 0.49)), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(trimmed(_score(shared, min(model.prior, 0.49))), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
