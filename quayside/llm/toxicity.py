@@ -229,13 +229,17 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
     return labels.where(learn).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_text: int) -> DataFrame:
-    """(text, label) of at most ``per_class`` of the known labels a class, the first by a hash of the id."""
-    known = known_labels(labels, label)
-    texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_text)).select("doc_id", "text")
-    rows = texts.join(known, "doc_id")
-    picked = [rows.where(F.col("label") == k).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "label").orderBy("h", "doc_id", "text").limit(per_class) for k in (0, 1)]
-    return picked[0].unionByName(picked[1])
+def sample(docs: DataFrame, known: DataFrame, per_class: int, max_text: int) -> tuple[list[str], list[int]]:
+    """(texts, labels) of at most ``per_class`` of the known labels a class, the first by a hash of the id.
+
+    Ids are chosen without their texts, so that only the texts of the sample are moved.
+    """
+    there = docs.where(F.octet_length("text") <= max_text).select("doc_id").join(known, "doc_id")
+    picked = [r for k in (0, 1) for r in there.where(F.col("label") == k).select(F.xxhash64("doc_id").alias("h"), "doc_id", "label").distinct().orderBy("h", "doc_id").limit(per_class).collect()]
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in picked], "doc_id long, label int"))  # 2 * per_class rows at most
+    rows = docs.where(F.octet_length("text") <= max_text).select("doc_id", "text").join(ids, "doc_id").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = ROWS_PER_CLASS, max_text: int = MAX_TEXT) -> DataFrame:
@@ -251,11 +255,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     """
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = sample(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), label), label, per_class, max_text).orderBy("h", "doc_id", "text").select("text", "label").collect()
-    truth = np.array([r["label"] for r in picked], np.int64)
-    model = fit([r["text"] for r in picked], truth)
+    known = known_labels(labels.select(F.col("doc_id").cast("long").alias("doc_id"), label), label)
+    texts, learnt = sample(rows, known, per_class, max_text)
+    truth = np.array(learnt, np.int64)
+    model = fit(texts, truth)
     # the sample holds the classes more evenly than the labels do; the softmax's offset is set right for the latter
-    there = {r["label"]: r["n"] for r in known_labels(labels.select(F.col("doc_id").cast("long").alias("doc_id"), label), label).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     taken = truth.sum()
     shift = np.log(there[1] / there[0] * (len(truth) - taken) / taken) if 0 < taken < len(truth) else 0.0
     shared = spark.sparkContext.broadcast((model.weight.astype(np.float64), model.offset + float(shift)))
