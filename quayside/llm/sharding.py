@@ -3,9 +3,9 @@
 Copies of a text are linked. They are gathered into *cells* of bounded size (part of a group, by a hash of the id), the vertices
 of the graph; a small group is one cell. Rounds of joins move cells towards the shard in which most of their group lies, as far
 as the shard's quota of free rows goes; who may move is decided by a priority hash and a histogram of at most shards * BUCKETS
-rows. Finally all rows are ranked within their shard, linked ones first, and the surplus of shards that are over their share
-fills the places that others lack: counts end at most one apart, and what leaves its shard are unlinked rows unless a shard holds
-nothing else.
+rows. Finally all rows are ranked within their shard, first those of large groups, then of small ones, then the unlinked, and the
+surplus of shards that are over their share fills the places that others lack, in order: counts end at most one apart, what moves
+are unlinked rows first, and a small group that has to move does so as a whole but for the ends of a shard's gap.
 
 Ranks come from counts of small hash buckets, so no shard is ever sorted in one task.
 """
@@ -23,7 +23,7 @@ BUCKETS = 1024
 RANKED = 500
 
 
-def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: int, quota: int, rounds: int = 6) -> DataFrame:
+def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: int, quota: int, rounds: int = 10) -> DataFrame:
     """Shards of linked cells. ``cells``: group, cell, weight; returns cell, shard, for groups of several cells.
 
     Per round, only cells of one hash parity may move, so neighbours don't swap places.
@@ -31,14 +31,21 @@ def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: i
     several = cells.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
     largest = cells.agg(F.max("weight")).first()[0] or 0  # a shard takes part while it has room for any cell
     state = scratch.write(cells.join(several, "group", "left_semi").withColumn("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)).cast("int")), "labels-0")
+    idle = 0
     for i in range(1, rounds + 1):
         load = {r["shard"]: r["w"] for r in state.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
         free = {s: quota - load.get(s, 0) for s in range(shards)}
         room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, free[s])]), F.col("shard"))
         votes = state.groupBy("group", "shard").agg(F.sum("weight").alias("votes")).withColumn("open", room >= largest)
-        best = votes.groupBy("group").agg(F.max(F.when(F.col("open"), F.struct("votes", -F.col("shard")))).alias("b")).select("group", F.col("b.votes").alias("best"), (-F.col("b.col2")).alias("to"))
-        seen = state.join(best, "group").join(votes.select("group", "shard", "votes"), ["group", "shard"])
-        wants = (F.col("to") != F.col("shard")) & ((F.col("best") > F.col("votes")) | (F.col("best") == F.col("votes")) & (F.col("to") < F.col("shard")))
+        # of a group's open shards (as many as there are shards at most) the fullest, as many as its rows there fill
+        opened = F.sort_array(F.collect_list(F.when(F.col("open"), F.struct("votes", (-F.col("shard")).alias("s")))), asc=False)
+        fills = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("open"), F.col("votes"))) / max(1, quota))).cast("int")
+        best = votes.groupBy("group").agg(opened.alias("opened"), fills.alias("k")).select("group", F.slice("opened", 1, F.least(F.size("opened"), F.col("k"))).alias("targets")).where(F.size("targets") > 0)
+        pick = F.element_at("targets", (F.pmod(F.xxhash64("cell", F.lit(3)), F.size("targets")) + 1).cast("int"))
+        seen = state.join(best, "group", "left").join(votes.select("group", "shard", "votes"), ["group", "shard"]).withColumn("pick", F.when(F.col("targets").isNotNull(), pick))
+        seen = seen.withColumn("to", -F.col("pick.s")).withColumn("best", F.col("pick.votes"))
+        settled = F.array_contains(F.transform("targets", lambda t: -t["s"]), F.col("shard"))
+        wants = ~settled & ((F.col("best") > F.col("votes")) | (F.col("best") == F.col("votes")) & (F.col("to") < F.col("shard")))
         seen = seen.withColumn("bucket", F.when(wants & (F.pmod(F.xxhash64("cell", F.lit(7)) + i, F.lit(2)) == 0), F.pmod(F.xxhash64(F.lit(i), "cell"), F.lit(BUCKETS)).cast("int")))
         asked = seen.where("bucket is not null").groupBy("to", "bucket").agg(F.sum("weight").alias("w")).collect()
         cut = dict.fromkeys(range(shards), 0)
@@ -49,13 +56,16 @@ def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: i
                     break
                 cut[s] = r["bucket"] + 1
         if not asked:
+            if (idle := idle + 1) == 2:  # neither parity wants to move
+                break
             continue
+        idle = 0
         goes = F.coalesce(F.col("bucket") < F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, cut[s])]), F.col("to")), F.lit(False))
         state = scratch.write(seen.select("group", "cell", "weight", F.when(goes, F.col("to")).otherwise(F.col("shard")).cast("int").alias("shard")), f"labels-{i}")
     return state.select("cell", "shard")
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
+def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, rounds: int = 10) -> DataFrame:
     """Put all ``docs`` (doc_id, text) into ``shards`` shards under the law ``rows``: counts differ by one at most.
 
     Returns one row per input row: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (gapless from 0 in each
@@ -76,9 +86,9 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, roun
     rows = scratch.write(rows.withColumn("cell", F.xxhash64("group", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))))), "cells")
     cells = rows.where("parts is not null").groupBy("group", "cell").agg(F.count("*").alias("weight"))
     labels = scratch.write(propagate(spark, scratch, cells, shards, total // shards, rounds), "labels")
-    placed = rows.join(sized(labels), "cell", "left").select("doc_id", "bytes", "crc", F.coalesce("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)).cast("int")).alias("shard"), F.col("parts").isNull().cast("int").alias("class"), "cell")
+    placed = rows.join(sized(labels), "cell", "left").select("doc_id", "bytes", "crc", F.coalesce("shard", F.pmod(F.xxhash64("cell"), F.lit(shards)).cast("int")).alias("shard"), F.when(F.col("shard").isNotNull(), 0).when(F.col("parts").isNotNull(), 1).otherwise(2).alias("class"), "cell")
     wide = max(1, total // (shards * RANKED))
-    spread = F.when(F.col("class") == 1, F.xxhash64("cell", "doc_id")).otherwise(F.xxhash64("cell"))
+    spread = F.when(F.col("class") == 2, F.xxhash64("cell", "doc_id")).otherwise(F.xxhash64("cell"))
     placed = scratch.write(placed.withColumn("bucket", F.pmod(spread, F.lit(wide))), "placed")
     counts = placed.groupBy("shard", "class", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
