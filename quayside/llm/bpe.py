@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from quayside.llm.common import expand, mix, prefix_hash, span_hash, trimmed, tune, U
 
 #: Characters that are cut into words at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Symbols of encoded words that a task keeps; beyond it, it starts afresh.
-KEPT_SYMBOLS = 12_000_000
+KEPT_SYMBOLS = 4_000_000
 #: Unicode's White_Space characters, as the word pattern's \s has them.
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
@@ -323,7 +323,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     The strings of added tokens become those tokens, none are added. Edge cases: a null or empty text has no tokens; a null or
     repeated doc_id is carried along; other columns are ignored; an empty table gives an empty result.
     """
-    tune(spark, 16)
+    tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(trimmed(_encode(_share(spark, path), False)), "doc_id long, n_tokens long, ids array<int>")
 
@@ -344,6 +344,6 @@ def bpe_decode(spark: SparkSession, tokens: DataFrame, path: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """Encode every text, decode its ids, and digest both: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and
     decoded_sha256. Edge cases as in :func:`bpe_encode`."""
-    tune(spark, 16)
+    tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(trimmed(_encode(_share(spark, path), True)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

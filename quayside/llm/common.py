@@ -7,6 +7,7 @@ so memory is set by the chunk size (or by the longest single document) and not b
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def settle(self) -> None:
+        """Collect garbage on the driver: Spark removes the shuffle files of what is written only when their plans are collected,
+        which on a driver with little to do can take longer than the whole call."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+
+
 def sized(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of ``df`` only if its counted rows are at most ``most``; otherwise the join shuffles."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
@@ -65,6 +74,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, giving freed memory back at the end of a task: idle workers live on and would hold it."""
 
@@ -72,12 +92,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return inner
 

@@ -222,6 +222,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, n
     tasks = _tasks(members, threshold, block)
     dealt = tasks.join(grams, "digest").repartition("task").sortWithinPartitions("task")
     found = scratch.write(dealt.select("task", "rep", "copies", "side", "grams").mapInArrow(trimmed(_verify(threshold)), "u long, v long, links long"), "found")
+    scratch.settle()
     classes = components(scratch, found.where("v is not null").select("u", "v"), "classes")
     links = found.where("v is null and links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     by_rep = reps.select("digest", "rep", "copies").join(links, reps.rep == links.u, "left").drop("u").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
@@ -237,6 +238,6 @@ def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Rows with a null doc_id stay; of several rows with one doc_id that is kept, all stay unless their text has a class with a
     smaller id.
     """
-    out = jaccard_join(spark, docs, **options)
-    gone = out.where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = jaccard_join(spark, docs, **options).where("class_id < doc_id").select("doc_id").distinct()
+    gone = Scratch(spark, "duplicates").write(gone, "ids")
+    return docs.join(sized(gone), "doc_id", "left_anti")

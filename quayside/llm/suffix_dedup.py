@@ -5,7 +5,7 @@ Plan
 1. Every ``min_bytes`` window of a text is owned by its *anchor*: the leftmost of its substrings of ``min_bytes`` * 2 / 5 bytes
    that has the smallest hash. Equal windows have equal anchors at the same offset, so occurrences of a repeat meet under their
    anchors' hash. A text yields one row per anchor (about one in 120 bytes for 400) with the extent of the windows it owns and
-   a 128-bit digest of that region.
+   a digest of that region; both hashes, 128 bits, tell regions apart.
 2. Anchors whose hash stands once are gone after one count. Equal regions collapse to one with its number of occurrences; a
    region that occurs twice is a repeat as a whole.
 3. The different regions under one hash are cut from their texts and meet in one task, if they are at most ``group``. There an
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quayside.llm.common import _BYTE, byte_list, chunked, prefix_hash, Scratch, sized, span_hash, trimmed, tune, U
+from quayside.llm.common import _BYTE, BROADCAST_ROWS, byte_list, chunked, prefix_hash, Scratch, sized, span_hash, trimmed, tune, U
 
 #: Different regions under one anchor hash that one task compares.
 GROUP = 192
@@ -90,7 +90,7 @@ def _anchor_rows(size: int, gram: int):
                 text = docs[i]
                 for k, x in enumerate((hashes.view(np.int64), np.full(len(place), rows[i]), place, place - head, tail + size - place)):
                     out[k].append(x)
-                out[5] += [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(head.tolist(), (tail + size).tolist(), strict=True)]
+                out[5] += [int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8).digest(), "big", signed=True) for a, b in zip(head.tolist(), (tail + size).tolist(), strict=True)]
                 if len(out[5]) >= 1 << 16:
                     yield _batch(out)
                     out = [[], [], [], [], [], []]
@@ -102,7 +102,7 @@ def _anchor_rows(size: int, gram: int):
 
 def _batch(out: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), k) for x, k in zip(out, kinds, strict=False)), pa.array(out[5], pa.binary())], ["anchor", "row", "place", "before", "behind", "digest"])
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), k) for x, k in zip(out, kinds, strict=False)), pa.array(out[5], pa.int64())], ["anchor", "row", "place", "before", "behind", "digest"])
 
 
 # --- the interval tree ----------------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def _compare(size: int):
         return [group[i][0] for i in some], [[{"a": a, "b": b} for a, b in found[i]] for i in some]
 
     def emit(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], ["digest", "anchor", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], _SPANS)], ["digest", "anchor", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
@@ -286,7 +286,7 @@ def _classes(size: int, width: int):
 
 
 def _class_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["core", "full", "anchor", "digest", "a", "b"])
 
 
@@ -298,7 +298,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(r["anchor"], r["digest"], r["before"], r["m"], text[r["place"] - r["before"] : r["place"] + r["behind"]]) for r in regions]
         for lo in range(0, len(out), 4096):
             part = out[lo : lo + 4096]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], ["anchor", "digest", "before", "m", "region"])
 
 
@@ -323,7 +323,7 @@ def _hot_extents(scratch: Scratch, hot: DataFrame, size: int) -> DataFrame | Non
     ranges = F.array(F.struct((-F.col("before")).alias("a"), (F.length("region") - size + 1 - F.col("before")).cast("int").alias("b")))
     active, found = hot.withColumn("ranges", ranges), None
     for i, width in enumerate(min(w, size) for w in LEVELS):  # a cell's windows have at least no byte in common
-        rows = scratch.write(active.mapInArrow(trimmed(_classes(size, width)), "core binary, full binary, anchor long, digest binary, a int, b int"), f"classes-{i}")
+        rows = scratch.write(active.mapInArrow(trimmed(_classes(size, width)), "core binary, full binary, anchor long, digest long, a int, b int"), f"classes-{i}")
         whole = scratch.write(rows.groupBy("full").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "digest", "a", "b", "core")).alias("one")), f"whole-{i}")
         hits = rows.join(whole.where("n > 1").select("full"), "full", "left_semi").select("anchor", "digest", F.struct("a", (F.col("b") - 1 + size).alias("b")).alias("s"))
         found = hits if found is None else found.unionByName(hits)
@@ -340,19 +340,24 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch, min_b
     bytes that also starts elsewhere in the table."""
     gram = max(1, min_bytes * 2 // 5)
     texts = rows.select("row", "text")
-    found = scratch.write(texts.where(F.octet_length("text") >= min_bytes).mapInArrow(trimmed(_anchor_rows(min_bytes, gram)), "anchor long, row long, place long, before int, behind int, digest binary"), "anchors")
+    found = scratch.write(texts.where(F.octet_length("text") >= min_bytes).mapInArrow(trimmed(_anchor_rows(min_bytes, gram)), "anchor long, row long, place long, before int, behind int, digest long"), "anchors")
     # a table of its own, so that both sides of the join are plain shuffles, of which a skewed one can be split
     often = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     shared = scratch.write(found.join(often, "anchor", "left_semi"), "shared")
     scratch.drop("anchors", "often")
+    scratch.settle()
     one = F.min(F.struct("row", "place", "before", "behind")).alias("one")
     regions = scratch.write(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), one).select("anchor", "digest", "n", "one.*"), "regions")
     many = scratch.write(regions.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "many")
     apart = regions.join(many, "anchor")
     by_text = scratch.write(apart.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "place", "before", "behind", "m")).alias("regions")), "by-text")
-    cut = scratch.write(texts.join(by_text, "row").select("text", "regions").mapInArrow(trimmed(_cut), "anchor long, digest binary, before int, m long, region binary"), "cut")
+    touched = by_text.count()
+    if touched <= BROADCAST_ROWS:  # then texts without regions needn't move
+        texts = texts.join(F.broadcast(by_text.select("row")), "row", "left_semi")
+    cut = scratch.write(texts.join(by_text, "row").select("text", "regions").mapInArrow(trimmed(_cut), "anchor long, digest long, before int, m long, region binary"), "cut")
     scratch.drop("many", "by-text")
-    kind = "digest binary, anchor long, spans array<struct<a:int,b:int>>"
+    scratch.settle()
+    kind = "digest long, anchor long, spans array<struct<a:int,b:int>>"
     few = cut.where(F.col("m") <= group).select("anchor", "digest", "before", "region").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_compare(min_bytes)), kind)
     hot = _hot_extents(scratch, scratch.write(cut.where(F.col("m") > group).select("anchor", "digest", "before", "region"), "hot"), min_bytes)
     extents = scratch.write(few.unionByName(hot) if hot else few, "extents")

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import expand, mix, prefix_hash, remainder, Scratch, sized, span_hash, trimmed, tune, U
+from quayside.llm.common import expand, give_back, mix, prefix_hash, remainder, Scratch, sized, span_hash, trimmed, tune, U
 
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 18, 16, 3, (3, 4, 5)
 #: Bound of the sample that the model is fitted on: labelled rows of each class, and bytes of a text in it.
 ROWS_PER_CLASS, MAX_TEXT = 2000, 1 << 14
 #: Characters that are turned into arrays at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -174,7 +174,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (10, 40)
             at = at + (rng.random(len(at)) * (np.diff(bag.first) - size + 1)).astype(np.int64)
         else:
             _, at, size = passages(word_scores(model.weight, bag), bag)
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // 256)):
+        for part in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
             words = bag.word[expand(at[part], size[part])]
             doc = np.repeat(np.arange(len(part)), size[part])
             rows = bag.grams[expand(bag.at[words], gram_count[words])]
@@ -262,6 +262,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     # the sample holds the classes more evenly than the labels do; the softmax's offset is set right for the latter
     there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     taken = truth.sum()
+    del texts
+    give_back()
     shift = np.log(there[1] / there[0] * (len(truth) - taken) / taken) if 0 < taken < len(truth) else 0.0
     shared = spark.sparkContext.broadcast((model.weight.astype(np.float64), model.offset + float(shift)))
     return rows.select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 0).alias("held_out")).mapInArrow(trimmed(_score(shared, min(model.prior, 0.49))), "doc_id long, held_out boolean, score double, predicted int")
