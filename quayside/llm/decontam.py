@@ -135,7 +135,7 @@ def find(index: Index | None, docs: list[bytes], n: int) -> Iterator[tuple[int,
 _SCHEMA = "doc_id long, row long, n_words long, matches array<struct<item_id:string,doc_word:long,words:long>>"
 
 
-def _scan(shared, n: int):
+def _scan(shared, n: int, report: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -144,6 +144,9 @@ def _scan(shared, n: int):
             for d, words, hits in find(index, docs, n):
                 counts[d] = words
                 matches[d] = [{"item_id": index.ids[i], "doc_word": p, "words": k} for i, _, p, k in hits]
+            if report:
+                yield _report(ids, pa.array(counts, pa.int64()), matches)
+                continue
             kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(counts, pa.int64()), pa.array(matches, kind)], ["doc_id", "row", "n_words", "matches"])
 
@@ -173,12 +176,20 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     Edge cases: null or empty texts have no words and no matches; items with a null id or text are left out; repeated items or
     documents each count; an empty benchmark matches nothing; an empty table gives an empty result.
     """
+    return _matches(spark, docs, benchmark, n, block_bytes, False)
+
+
+def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int, report: bool) -> DataFrame:
+    """The matches, or the report on them; with one block the report is made where the matches are found."""
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("row"))
     blocks = _blocks(benchmark, block_bytes)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return rows.mapInArrow(trimmed(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n)), _SCHEMA).drop("row")
+        shared = spark.sparkContext.broadcast(Index.build(block, n))
+        if report:
+            return rows.mapInArrow(trimmed(_scan(shared, n, True)), _REPORT)
+        return rows.mapInArrow(trimmed(_scan(shared, n)), _SCHEMA).drop("row")
     scratch = Scratch(spark, "decontam")
     rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbers each row once, for all passes
     out, i = None, 0
@@ -186,29 +197,36 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
         part = scratch.write(rows.mapInArrow(trimmed(_scan(spark.sparkContext.broadcast(Index.build(block, n)), n)), _SCHEMA), f"pass-{i}")
         out = part if out is None else out.unionByName(part)
         block, following, i = following, next(blocks, None), i + 1
-    return out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
+    out = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
+    return out.select("doc_id", "n_words", "matches").mapInArrow(trimmed(_digest), _REPORT) if report else out
+
+
+def _report(doc_id: pa.Array, n_words: pa.Array, matches: list[list[dict]]) -> pa.RecordBatch:
+    hit, count, code = [], [], []
+    for found in matches:
+        reach = total = 0
+        for a, k in sorted((m["doc_word"], m["words"]) for m in found):
+            total += max(0, a + k - max(a, reach))
+            reach = max(reach, a + k)
+        items = sorted({m["item_id"] for m in found})
+        hit.append(total)
+        count.append(len(items))
+        code.append(hashlib.sha256(",".join(items).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_id, n_words, pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(code, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit, count, code = [], [], []
-        for matches in batch.column(2).to_pylist():
-            reach = total = 0
-            for a, k in sorted((m["doc_word"], m["words"]) for m in matches):
-                total += max(0, a + k - max(a, reach))
-                reach = max(reach, a + k)
-            items = sorted({m["item_id"] for m in matches})
-            hit.append(total)
-            count.append(len(items))
-            code.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(code), pa.array([x > 0 for x in hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
+        yield _report(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+
+
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 (of the sorted item ids, comma-joined)
     and contaminated. See :func:`verbatim_matches`."""
-    found = verbatim_matches(spark, docs, benchmark, n, **options).select("doc_id", "n_words", "matches")
-    return found.mapInArrow(trimmed(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _matches(spark, docs, benchmark, n, block_bytes, True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
