@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from quayside.llm.common import expand, mix, prefix_hash, span_hash, trimmed, tune, U
 
 #: Characters that are cut into words at once.
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 17
 #: Symbols of encoded words that a task keeps; beyond it, it starts afresh.
-KEPT_SYMBOLS = 4_000_000
+KEPT_SYMBOLS = 2_000_000
 #: Unicode's White_Space characters, as the word pattern's \s has them.
 SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are expanded into numpy arrays at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 #: Most rows that any operator here broadcasts; larger sides are shuffled instead.
 BROADCAST_ROWS = 500_000
 
@@ -27,7 +27,7 @@ BROADCAST_ROWS = 500_000
 # --- session and scratch ------------------------------------------------------------------------------------------
 
 
-def tune(spark: SparkSession, megabytes: int = 4) -> None:
+def tune(spark: SparkSession, megabytes: int = 2) -> None:
     """Bound the Arrow batches that Python workers receive by bytes, as documents vary in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
