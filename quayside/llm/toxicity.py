@@ -152,10 +152,11 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (10, 40), rate: float = 0.5, seed: int = 5) -> Model:
-    """Train vectors and softmax jointly with Adagrad: ``rounds`` passes on whole texts, then on highest passages.
+def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (10, 40), rate: float = 0.5, batch: int = 128, seed: int = 5) -> Model:
+    """Train vectors and softmax jointly with Adagrad: ``rounds`` passes on stretches of 64 words, then on highest passages.
 
-    Texts without words have no part.
+    A step takes ``batch`` texts, and fewer of a small sample, which would be left half-trained by as few steps as that makes. Texts
+    without words have no part.
     """
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32), float(labels.mean()) if len(labels) else 0.0)
@@ -170,11 +171,12 @@ def fit(texts: list[str], labels: np.ndarray, rounds: tuple[int, int] = (10, 40)
     for epoch in range(sum(rounds)):
         if epoch < rounds[0]:
             at, size = bag.first[:-1], np.minimum(np.diff(bag.first), 64)
-            # a long text is averaged over another stretch each time
-            at = at + (rng.random(len(at)) * (np.diff(bag.first) - size + 1)).astype(np.int64)
+            # a long text is averaged over another stretch each time; its first and last words are in as many as the others
+            count = np.diff(bag.first)
+            at = at + np.clip((rng.random(len(at)) * (count + size)).astype(np.int64) - size, 0, count - size)
         else:
             _, at, size = passages(word_scores(model.weight, bag), bag)
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // 128)):
+        for part in np.array_split(rng.permutation(use), max(1, len(use) // max(4, min(batch, len(use) // 20)))):
             words = bag.word[expand(at[part], size[part])]
             doc = np.repeat(np.arange(len(part)), size[part])
             rows = bag.grams[expand(bag.at[words], gram_count[words])]
