@@ -170,7 +170,7 @@ def build_segment(keys: list[np.ndarray], counts: list[np.ndarray], largest: int
     key, q = key[keep], q[keep]
     words = int(min(largest, max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64))))
     out = np.zeros(words, np.uint64)
-    level = np.concatenate([np.arange(1, n + 1) for n in q]) if len(q) < 64 else np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1
+    level = np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1
     at, bits = _bits(np.repeat(key, q), level, np.array(words))
     order = np.argsort(at, kind="stable")
     at, bits = at[order], bits[order]
