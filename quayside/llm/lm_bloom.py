@@ -4,9 +4,10 @@ Counting. Each partition counts its distinct unigrams and bigrams in numpy and s
 shuffle moves hashes and counts and not rows. Per bucket the blocks are merged to exact corpus counts.
 
 Filter. A count c is held as its quantised logarithm q = 1 + floor(log_b c): the entries (n-gram, 1) .. (n-gram, q) are set, so a lookup
-probes 1, 2, .. until one is missing. Each bucket builds its own segment of the filter at ``BITS_PER_ENTRY`` bits an entry; a
-segment has a fixed largest size, and beyond it keeps its most frequent n-grams (all counts down to the lowest that fits), so what is
-broadcast is bounded whatever the corpus. Documents learn from the whole corpus either way: the counts are exact and complete.
+probes 1, 2, .. until one is missing. Each bucket builds its own segment of the filter at ``BITS_PER_ENTRY`` bits for each entry it
+has, so the filter grows with the corpus and holds every n-gram. It stays in its segments at every size: texts are written in
+numbered blocks, each block's distinct n-grams go to their segments, and the quantised counts come back to the block. Only a caller
+that names ``filter_bytes`` has filters of up to that size broadcast instead, which probes the same segments for the same scores.
 
 Scores. The smoothed probability of a word after another is the interpolation of two probed estimates,
 P(w|v) = LAMBDA * c(v,w) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1); without a bigram the second part remains.
@@ -30,8 +31,8 @@ from quayside.llm.common import byte_list, chunked, mix, remainder, Scratch, SOL
 #: Buckets of n-gram hashes, each a segment of the filter.
 SEGMENTS = 512
 BITS_PER_ENTRY, PROBES = 9, 4
-#: Largest size of the filter in bytes, over all segments.
-FILTER_BYTES = 48 << 20
+#: Bytes of text in a block whose n-grams are looked up together; a longer document is a block of its own.
+BLOCK_BYTES = 1 << 22
 #: Types whose exact counts are sent to all workers.
 HEAD = 400_000
 #: Quantisation base, and the weight of the bigram estimate.
@@ -158,17 +159,11 @@ def _bits(key: np.ndarray, level: np.ndarray, words: np.ndarray) -> tuple[np.nda
     return ((h >> U(32)) * words.astype(np.uint64) >> U(32)).astype(np.int64), bits
 
 
-def build_segment(keys: list[np.ndarray], counts: list[np.ndarray], largest: int) -> np.ndarray:
-    """A segment of 64-bit words over n-grams of all kinds, of ``largest`` words at most."""
+def build_segment(keys: list[np.ndarray], counts: list[np.ndarray], largest: int | None = None) -> np.ndarray:
+    """A segment of 64-bit words over all given n-grams, of all kinds; ``largest`` bounds its words, not what it holds."""
     key, q = np.concatenate(keys), quantise(np.concatenate(counts))
-    levels = np.bincount(q, minlength=2)
-    fits = largest * 64 // BITS_PER_ENTRY
-    lowest = 1
-    while lowest < len(levels) - 1 and (levels[lowest:] * np.arange(lowest, len(levels))).sum() > fits:
-        lowest += 1
-    keep = q >= lowest
-    key, q = key[keep], q[keep]
-    words = int(min(largest, max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64))))
+    words = max(1, -(-int(q.sum()) * BITS_PER_ENTRY // 64))
+    words = words if largest is None else min(words, largest)
     out = np.zeros(words, np.uint64)
     level = np.arange(int(q.sum())) - np.repeat(np.cumsum(q) - q, q) + 1
     at, bits = _bits(np.repeat(key, q), level, np.array(words))
@@ -190,7 +185,11 @@ class LogFilter:
         self.words = np.concatenate(parts)
 
     def counts(self, key: np.ndarray) -> np.ndarray:
-        """The expected count of each n-gram, from probing its levels until one is missing."""
+        """The expected count of each n-gram."""
+        return expected(self.levels(key))
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        """The quantised count of each n-gram, from probing its levels until one is missing."""
         q, live = np.zeros(len(key), np.int64), np.arange(len(key))
         bucket = (key >> U(55)).astype(np.int64)
         level = 0
@@ -202,30 +201,98 @@ class LogFilter:
             q[live] = level
             if level >= 200:
                 break
-        return expected(q)
+        return q
 
 
-def _segment(largest: int):
+def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket, of both kinds: one filter segment each."""
 
     def done(bucket: int, parts: list) -> pa.RecordBatch:
-        words = build_segment([k for k, _ in parts], [c for _, c in parts], largest)
+        words = build_segment([k for k, _ in parts], [c for _, c in parts])
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([words.tobytes()], pa.binary())], ["bucket", "words"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, bucket, *packed = (batch.column(k)[i].as_py() for k in range(5))
-                if at != bucket and parts:
-                    yield done(at, parts)
-                    parts = []
-                at = bucket
-                parts.append(_unpack(*packed))
-        if parts:
-            yield done(at, parts)
+    at, parts = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, bucket, *packed = (batch.column(k)[i].as_py() for k in range(5))
+            if at != bucket and parts:
+                yield done(at, parts)
+                parts = []
+            at = bucket
+            parts.append(_unpack(*packed))
+    if parts:
+        yield done(at, parts)
 
-    return run
+
+# --- a filter that isn't broadcast ----------------------------------------------------------------------------------
+
+_BLOCK = "block long, ids array<long>, held array<boolean>, texts array<binary>"
+
+
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, held_out) as numbered blocks of about ``BLOCK_BYTES`` of text."""
+    number = TaskContext.get().partitionId() << 40  # holds for good, as the blocks are written once
+
+    def done() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, ids, held, texts), kinds, strict=True)], ["block", "ids", "held", "texts"])
+
+    ids, held, texts, size = [], [], [], 0
+    for batch in batches:
+        for i, text, out in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            if texts and size + len(text) > BLOCK_BYTES:
+                yield done()
+                ids, held, texts, size, number = [], [], [], 0, number + 1
+            ids.append(i)
+            held.append(out)
+            texts.append(text)
+            size += len(text) + 1
+    if texts:
+        yield done()
+
+
+def _ngrams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and bigrams of a block, and the tokens of each document."""
+    parts = [token_hashes(docs[lo:hi]) for lo, hi in chunked(docs)]
+    tokens = np.concatenate([t for t, _ in parts])
+    return tokens, pairs_of(tokens), np.concatenate([n for _, n in parts])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block its distinct n-grams, of all kinds, by bucket."""
+    for batch in batches:
+        for block, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens, pairs, _ = _ngrams(texts)
+            key = np.unique(np.concatenate([tokens, pairs]))
+            bucket, first = np.unique((key >> U(55)).astype(np.int32), return_index=True)
+            packed = [key[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.ones(len(bucket), np.int32)), pa.array(np.full(len(bucket), block)), pa.array(packed, pa.binary())], ["bucket", "kind", "block", "data"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, kind), a segment (kind 0) before what is asked of it: the quantised counts, a byte each."""
+
+    def done() -> pa.RecordBatch:
+        key, where = np.unique(np.concatenate(asked), return_inverse=True)
+        q = segment.levels(key).astype(np.uint8)[where]
+        cut = np.cumsum([0, *map(len, asked)])
+        packed = [q[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([at] * len(blocks), pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "q"])
+
+    at, segment, blocks, asked, size = None, None, [], [], 0
+    for batch in batches:
+        for bucket, kind, block, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if blocks and (bucket != at or size > HELD):  # n-grams of many blocks are probed once
+                yield done()
+                blocks, asked, size = [], [], 0
+            if bucket != at:
+                at, segment = bucket, LogFilter({bucket: data} if kind == 0 else {})
+            if kind:
+                blocks.append(block)
+                asked.append(np.frombuffer(data, np.uint64))
+                size += len(asked[-1])
+    if blocks:
+        yield done()
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------
@@ -254,54 +321,96 @@ class Model:
         place = np.minimum(np.searchsorted(self.head, key), len(self.head) - 1)
         return np.where(self.head[place] == key, self.head_count[place], -1)
 
-    def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 P(token | token before) of a run of whole documents."""
-        types, where = np.unique(np.append(tokens, END), return_inverse=True)
-        single = self.filter.counts(types)
-        pair, pair_at = np.unique(pairs_of(tokens), return_inverse=True)
-        both = self.filter.counts(pair)[pair_at]
+    def log_probabilities(self, single: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """log10 P(token | token before) of a run of whole documents, from the counts of its tokens and of its bigrams."""
         unigram = (single + 1) / (self.tokens + self.types + 1)
-        before = single[np.concatenate([where[-1:], where[:-2]])]
+        before = np.concatenate([single[-1:], single[:-1]])  # the last token is an end token, as is the one before the first
         estimate = np.minimum(both / np.maximum(before, 1), 1) * (before > 0)
-        return np.log10(LAMBDA * estimate + (1 - LAMBDA) * unigram[where[:-1]])
+        return np.log10(LAMBDA * estimate + (1 - LAMBDA) * unigram)
 
 
-def _score(shared):
+def _lines(model: Model, row: int, ids: pa.Array, held_out: pa.Array, tokens: np.ndarray, count: np.ndarray, single: np.ndarray, both: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Scores of a run of whole documents, numbered from ``row`` on, and the tokens outside the model's table of exact counts."""
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "times"]
+    norm = np.log10(model.tokens + model.types + 1)
+    n = len(count)
+    doc = np.repeat(np.arange(n), count)
+    edges = np.concatenate([[0], np.cumsum(count)[:-1]])
+    c = model.exact(tokens)
+    known = c >= 0
+    base = np.add.reduceat(np.where(known, np.log10(np.maximum(c, 0) + 1) - norm, 0), edges)
+    score = np.add.reduceat(model.log_probabilities(single, both), edges)
+    number = row + np.arange(n)
+    none = pa.nulls(n)
+    yield pa.RecordBatch.from_arrays([pa.array(number), ids, held_out, pa.array(count), pa.array(np.add.reduceat(known.astype(np.int64), edges)), pa.array(base), pa.array(score), none.cast(kinds[7]), none.cast(kinds[8])], names)
+    key = np.empty(int((~known).sum()), [("doc", np.int64), ("h", np.uint64)])
+    key["doc"], key["h"] = doc[~known], tokens[~known]
+    if len(key):
+        key, times = np.unique(key, return_counts=True)
+        none = pa.nulls(len(key))
+        yield pa.RecordBatch.from_arrays([pa.array(number[key["doc"]]), *(none.cast(k) for k in kinds[1:7]), pa.array(key["h"].copy().view(np.int64)), pa.array(times)], names)
+
 
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        norm = np.log10(model.tokens + model.types + 1)
         row = TaskContext.get().partitionId() << 40  # a number for each row of this task's output
         for batch in batches:
-            docs, at = byte_list(batch.column(1)), 0
+            docs = byte_list(batch.column(1))
             for lo, hi in chunked(docs):
                 tokens, count = token_hashes(docs[lo:hi])
-                doc = np.repeat(np.arange(hi - lo), count)
-                edges = np.concatenate([[0], np.cumsum(count)[:-1]])
-                c = model.exact(tokens)
-                known = c >= 0
-                base = np.add.reduceat(np.where(known, np.log10(np.maximum(c, 0) + 1) - norm, 0), edges)
-                score = np.add.reduceat(model.log_probabilities(tokens), edges)
-                n = hi - lo
-                number = row + np.arange(n)
-                row += n
-                none = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(count), pa.array(np.add.reduceat(known.astype(np.int64), edges)), pa.array(base), pa.array(score), none.cast(kinds[7]), none.cast(kinds[8])], names)
-                at += n
-                key = np.empty(int((~known).sum()), [("doc", np.int64), ("h", np.uint64)])
-                key["doc"], key["h"] = doc[~known], tokens[~known]
-                if len(key):
-                    key, times = np.unique(key, return_counts=True)
-                    none = pa.nulls(len(key))
-                    yield pa.RecordBatch.from_arrays([pa.array(number[key["doc"]]), *(none.cast(k) for k in kinds[1:7]), pa.array(key["h"].copy().view(np.int64)), pa.array(times)], names)
+                single, both = (model.filter.counts(key)[at] for key, at in (np.unique(h, return_inverse=True) for h in (tokens, pairs_of(tokens))))
+                yield from _lines(model, row + lo, batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), tokens, count, single, both)
+            row += len(docs)
+
+    return run
+
+
+def _score_blocks(shared):
+    """Rows sorted by (block, bucket): the answers to a block, then its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        row, q = TaskContext.get().partitionId() << 40, []
+        for batch in batches:
+            buckets = batch.column(1).to_pylist()
+            for i, bucket in enumerate(buckets):
+                if bucket < SEGMENTS:
+                    q.append(batch.column(2)[i].as_py())
+                    continue
+                tokens, pairs, count = _ngrams(batch.column(5)[i].as_py())
+                key, at = np.unique(np.concatenate([tokens, pairs]), return_inverse=True)
+                level = np.frombuffer(b"".join(q), np.uint8)
+                if len(level) != len(key):
+                    raise ValueError(f"{len(level)} answers to {len(key)} n-grams")
+                counts = expected(np.arange(256))[level][at]
+                yield from _lines(model, row, batch.column(3)[i].values, batch.column(4)[i].values, tokens, count, counts[: len(tokens)], counts[len(tokens) :])
+                row, q = row + len(count), []
 
     return run
 
 
-def train(spark: SparkSession, scratch: Scratch, texts: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """Count all of ``texts`` (one column of text) and build the model; also returns (h, c), the exact counts of all types."""
+def _by_segment(scratch: Scratch, rows: DataFrame, segments: DataFrame, shared) -> DataFrame:
+    """Scores of ``rows`` by a filter that stays in its segments."""
+    scratch.settle()
+    blocks = scratch.write(rows.mapInArrow(trimmed(_block), _BLOCK), "blocks")
+    asked = blocks.select("block", "texts").mapInArrow(trimmed(_ask), "bucket int, kind int, block long, data binary")
+    own = segments.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"), F.col("words").alias("data"))
+    met = own.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    answers = scratch.write(met.mapInArrow(trimmed(_answer), "block long, bucket int, q binary"), "answers")
+    scratch.settle()
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("ids", "array<long>"), ("held", "array<boolean>"), ("texts", "array<binary>"))]
+    last = blocks.select("block", F.lit(SEGMENTS).alias("bucket"), F.lit(None).cast("binary").alias("q"), "ids", "held", "texts")
+    return answers.select("block", "bucket", "q", *none).unionByName(last).repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(trimmed(_score_blocks(shared)), _SCORED)
+
+
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long"
+
+
+def train(spark: SparkSession, scratch: Scratch, texts: DataFrame, filter_bytes: int = 0, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame | None]:
+    """Count all of ``texts`` (one column of text) and build the model; also returns (h, c), the exact counts of all types, and
+    the filter's segments if they are more than ``filter_bytes``; then the model has none of them."""
     packed = texts.mapInArrow(trimmed(_count), _PACKED).repartition("bucket").sortWithinPartitions("bucket", "kind")
     counts = scratch.write(packed.mapInArrow(trimmed(_merge), _PACKED), "counts")
     types = scratch.write(counts.where("kind = 0").select("keys", "counts", "large").mapInArrow(trimmed(_types), "h long, c long"), "types")
@@ -314,13 +423,14 @@ def train(spark: SparkSession, scratch: Scratch, texts: DataFrame, filter_bytes:
             break
         lowest = r["c"]
     table = types.where(F.col("c") >= lowest).toPandas()
-    largest = max(1, filter_bytes // 8 // SEGMENTS)
-    segments = counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_segment(largest)), "bucket int, words binary")
-    model = Model({r["bucket"]: bytes(r["words"]) for r in segments.toLocalIterator()}, table["h"].to_numpy(np.int64).view(np.uint64), table["c"].to_numpy(np.int64), sums["n"], sums["v"])
-    return model, types
+    segments = scratch.write(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_segment), "bucket int, words binary"), "segments")
+    scratch.drop("counts")
+    small = filter_bytes > 0 and (segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0) <= filter_bytes
+    model = Model({r["bucket"]: bytes(r["words"]) for r in segments.toLocalIterator()} if small else {}, table["h"].to_numpy(np.int64).view(np.uint64), table["c"].to_numpy(np.int64), sums["n"], sums["v"])
+    return model, types, None if small else segments
 
 
-def lm_score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int = 2, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
+def lm_score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int = 2, filter_bytes: int = 0, head: int = HEAD) -> DataFrame:
     """Score every whole text of ``docs`` (doc_id, text) with a bigram model learnt from those whose crc32 of the id as text, modulo
     ``modulus``, is not ``held``.
 
@@ -334,8 +444,9 @@ def lm_score(spark: SparkSession, docs: DataFrame, modulus: int = 7, held: int =
     tune(spark)
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
-    model, types = train(spark, scratch, rows.where(~F.col("held_out")).select("text"), filter_bytes, head)
-    out = rows.mapInArrow(trimmed(_score(spark.sparkContext.broadcast(model))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, h long, times long")
+    model, types, segments = train(spark, scratch, rows.where(~F.col("held_out")).select("text"), filter_bytes, head)
+    shared = spark.sparkContext.broadcast(model)
+    out = rows.mapInArrow(trimmed(_score(shared)), _SCORED) if segments is None else _by_segment(scratch, rows, segments, shared)
     out = scratch.write(out, "scores")
     norm = float(np.log10(model.tokens + model.types + 1))
     rare = out.where("h is not null").select("row", "h", "times").join(types, "h", "left")

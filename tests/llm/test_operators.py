@@ -323,6 +323,17 @@ def test_lm_scores(spark, docs, texts, odd, none):
     assert lm_bloom.lm_score(spark, none).count() == 0
 
 
+def test_lm_filter_holds_all_ngrams_at_any_size(spark, docs, odd, none):
+    want = by_id(lm_bloom.lm_score(spark, docs, filter_bytes=48 << 20))
+    for size in (4096, 0):  # not broadcast, but probed by segment
+        got = by_id(lm_bloom.lm_score(spark, docs, filter_bytes=size))
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r["score"] == pytest.approx(want[i]["score"], rel=1e-9) and r["base_score"] == pytest.approx(want[i]["base_score"], rel=1e-9)
+            assert (r["held_out"], r["n_tokens"], r["n_known"]) == (want[i]["held_out"], want[i]["n_tokens"], want[i]["n_known"])
+    assert lm_bloom.lm_score(spark, odd, filter_bytes=0).count() == 6 and lm_bloom.lm_score(spark, none, filter_bytes=0).count() == 0
+
+
 def test_log_filter_never_undercounts():
     r = np.random.default_rng(3)
     key = np.unique(r.integers(0, 1 << 63, 5000).astype(np.uint64)) * np.uint64(2)
