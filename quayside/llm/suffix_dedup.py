@@ -379,9 +379,8 @@ def with_spans(spark: SparkSession, docs: DataFrame, min_bytes: int, group: int
     """``docs`` with all its columns and ``__spans``; see :func:`suffix_spans`."""
     tune(spark)
     scratch = Scratch(spark, "suffix-dedup")
-    # a number for each row, so that repeated ids do no harm; over plain files it is the same in every pass
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    rows = rows if _stable(docs) else scratch.write(rows, "rows")
+    # a number for each row, so that repeated ids do no harm; written once, as it depends on how a scan splits files
+    rows = scratch.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     spans = repeated_spans(spark, rows.select(F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")), scratch, min_bytes, group)
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     return rows.drop(SPANS).join(sized(spans.select(F.col("row").alias(ROW), F.col("spans").alias(SPANS)), size, EXTENTS), ROW, "left").drop(ROW)
@@ -434,14 +433,6 @@ def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 240,
     return found.where(F.col(SPANS).isNull()).drop(SPANS).unionByName(touched)
 
 
-def _stable(docs: DataFrame) -> bool:
-    """Whether ``docs`` is no more than columns of files, whose rows Spark numbers alike in each pass."""
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "SubqueryAlias") and plan.children().size() == 1:
-        plan = plan.children().apply(0)
-    return plan.nodeName() == "LogicalRelation" or "Relation" in plan.nodeName()
-
-
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size, removed, runs, kept = [], [], [], []

@@ -304,6 +304,30 @@ def test_sharding(spark, docs, texts, odd, none):
     assert sharding.shard_documents(spark, none).count() == 0
 
 
+def test_spans_stay_with_their_rows_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    line = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = line(500)
+    texts = [line(300) + chr(0x4E00 + i) + (passage if i % 5 == 0 else line(50)) for i in range(48)]
+    for i in range(12):
+        spark.createDataFrame([(k, texts[k]) for k in range(i, 48, 12)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    search = suffix_dedup.repeated_spans
+
+    def then_split_anew(*a):
+        out = search(*a)
+        spark.conf.set("spark.sql.files.minPartitionNum", "12")
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", then_split_anew)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "2")
+        got = by_id(suffix_dedup.dedup_report(spark, spark.read.parquet(f"{tmp_path}/docs")))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert {i for i, x in got.items() if x["n_removed"]} == set(range(0, 48, 5))
+    assert all(got[i]["kept_sha256"] == hashlib.sha256(texts[i][:301].encode()).hexdigest() for i in range(0, 48, 5))
+
+
 def test_lm_scores(spark, docs, texts, odd, none):
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
     learn = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
