@@ -56,21 +56,24 @@ def _month_of_file(f: Frames) -> DataFrame:
 
 
 def _incremental_load(f: Frames) -> DataFrame:
-    """Writes the order tables' trips of a month as a raw file and loads it three times: fresh, unchanged, forced."""
+    """Writes the order tables' trips as raw files, one for each month of orders, and loads the folder three times: fresh, unchanged,
+    forced. One row a run and period."""
     conf = f.spark.conf.get("spark.checkpoint.dir", None)
     root = f"{(conf or tempfile.gettempdir()).rstrip('/')}/load-{uuid.uuid4().hex}"
-    raw = trips.order_trips(f.spark, f.folder).where("pickup_ts >= '1997-01-01' and pickup_ts < '1997-02-01'")
-    back = {b: a for a, b, _ in trips.RAW_COLUMNS}
-    raw.select(*(F.col(b).alias(a) for b, a in back.items())).coalesce(1).write.parquet(f"{root}/new")
+    raw = trips.order_trips(f.spark, f.folder, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    raw.select(*(F.col(b).alias(a) for a, b, _ in trips.RAW_COLUMNS), "month").repartition("month").write.partitionBy("month").parquet(f"{root}/new")
     jvm, hadoop = f.spark.sparkContext._jvm, f.spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(hadoop)
-    part = next(s.getPath() for s in fs.listStatus(path(f"{root}/new")) if s.getPath().getName().startswith("part-"))
     fs.mkdirs(path(f"{root}/raw"))
-    fs.rename(part, path(f"{root}/raw/yellow_tripdata_1997-01.parquet"))
-    done = [x for force in (False, False, True) for x in load.load_folder(f.spark, f"{root}/raw", f"{root}/store", force)]
-    stored = trips.stored_trips(f.spark, f"{root}/store/trips", ["1997-01"]).count()
-    return f.spark.createDataFrame([(i, x.period, x.skipped, x.source_rows, x.loaded_rows, x.excluded_rows, stored) for i, x in enumerate(done)], "run int, period string, skipped boolean, source_rows long, loaded_rows long, excluded_rows long, stored_rows long")
+    for s in fs.listStatus(path(f"{root}/new")):
+        if (name := s.getPath().getName()).startswith("month="):
+            (part,) = (x.getPath() for x in fs.listStatus(s.getPath()) if x.getPath().getName().startswith("part-"))
+            fs.rename(part, path(f"{root}/raw/yellow_tripdata_{name.removeprefix('month=')}.parquet"))
+    done = [(i, x) for i, force in enumerate((False, False, True)) for x in load.load_folder(f.spark, f"{root}/raw", f"{root}/store", force)]
+    period = F.substring(F.col("period").cast("string"), 1, 7).alias("period")
+    stored = {r["period"]: r["n"] for r in trips.stored_trips(f.spark, f"{root}/store/trips").groupBy(period).agg(F.count("*").alias("n")).collect()}  # a row a month
+    return f.spark.createDataFrame([(i, x.period, x.skipped, x.source_rows, x.loaded_rows, x.excluded_rows, stored.get(x.period, 0)) for i, x in done], "run int, period string, skipped boolean, source_rows long, loaded_rows long, excluded_rows long, stored_rows long")
 
 
 def _hour_of(f: Frames, policy: str) -> DataFrame:

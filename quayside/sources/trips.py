@@ -101,8 +101,9 @@ def stored_trips(spark: SparkSession, root: str, periods: list[str] | None = Non
 # --- order tables ---------------------------------------------------------------------------------------------------
 
 
-def order_trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as raw trips: the order's day and a time of day from its keys, nations as zones, years as periods."""
+def order_trips(spark: SparkSession, folder: str, *extra: Column) -> DataFrame:
+    """Order lines as raw trips: the order's day and a time of day from its keys, nations as zones, years as periods; then ``extra``
+    columns over the order tables."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     lines = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -123,6 +124,7 @@ def order_trips(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_extendedprice") * F.col("l_tax") / 100).alias("tip"),
         F.concat(F.lit("Y"), year).alias("period"),
         F.make_date(year, F.lit(1), F.lit(1)).alias("period_start"),
+        *extra,
     )
 
 

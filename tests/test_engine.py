@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quayside import registry
 from quayside.operators import allocate, backtest, forecast, marts, quality, seasonal
 from quayside.sources import trips
 
@@ -87,3 +88,16 @@ def test_ratio_of_sums(spark):
     rows = [(1, "z", "b", "s", False, 0, 0, 0, "d", p, n, r, h, 1.0, 1.0) for p, n, r, h in (("a", 3, 300.0, 1.0), ("b", 30000, 3000.0, 100.0))]
     kind = "zone_id int, zone_name string, borough string, service_zone string, is_airport boolean, dow int, hour int, hour_of_week int, daypart string, period string, trips long, revenue double, driver_hours double, trips_per_day double, revenue_per_day double"
     assert abs(marts.profile(spark.createDataFrame(rows, kind)).first()["revenue_per_driver_hour"] - 3300 / 101) < 1e-9
+
+
+def test_incremental_load_takes_every_month(spark):
+    folder = "/root/testdata/sf0.001"
+    got = registry.queries()["incremental_load"](spark, folder).collect()
+    rows = trips.order_trips(spark, folder, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    want = {r["month"]: (r["n"], r["late"]) for r in rows.groupBy("month").agg(F.count("*").alias("n"), F.count_if(F.date_format("pickup_ts", "yyyy-MM") != F.col("month")).alias("late")).collect()}
+    assert len(want) > 12 and len(got) == 3 * len(want)
+    for r in got:
+        n, late = want[r["period"]]
+        assert r["skipped"] == (r["run"] == 1) and r["source_rows"] == n == r["loaded_rows"] + r["excluded_rows"]
+        assert r["stored_rows"] == r["loaded_rows"] and r["excluded_rows"] >= late
+    assert sum(late for _, late in want.values()) > 0
