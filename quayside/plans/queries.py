@@ -136,7 +136,8 @@ TABLE: dict[str, Q] = {
     "rph_band": _band,
     "period_coverage": _coverage,
     "orphan_zones": _orphans,
-    "gbt_forecast": lambda f: forecast.boosted(f.train_rows, f.test_rows, rounds=10),
+    "gbt_forecast": lambda f: forecast.boosted(f.train_rows, f.test_rows),
+    "gbt_verdict": lambda f: forecast.verdict(forecast.metrics(f.predicted, "historical_cell_mean"), forecast.metrics(forecast.boosted(f.train_rows, f.test_rows), "boosted")),
     "month_of_file": _month_of_file,
     "incremental_load": _incremental_load,
 }

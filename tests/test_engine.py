@@ -1,12 +1,15 @@
 """Properties of the demand and fleet operators on small tables."""
 
 import datetime as dt
+import inspect
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from quayside import registry
 from quayside.operators import allocate, backtest, forecast, marts, quality, seasonal
+from quayside.plans import queries
 from quayside.sources import trips
 
 
@@ -101,3 +104,18 @@ def test_incremental_load_takes_every_month(spark):
         assert r["skipped"] == (r["run"] == 1) and r["source_rows"] == n == r["loaded_rows"] + r["excluded_rows"]
         assert r["stored_rows"] == r["loaded_rows"] and r["excluded_rows"] >= late
     assert sum(late for _, late in want.values()) > 0
+
+
+def test_boosted_model_has_its_rounds_and_is_judged(spark, monkeypatch):
+    kind, seen = "zone_id int, dow int, hour int, target double, prediction double", []
+
+    def boosted(train, test, rounds=inspect.signature(forecast.boosted).parameters["rounds"].default, **_):
+        seen.append(rounds)
+        return spark.createDataFrame([(1, 0, 0, 10.0, 10.0), (2, 0, 0, 20.0, 19.0)], kind)
+
+    monkeypatch.setattr(forecast, "boosted", boosted)
+    f = SimpleNamespace(train_rows=None, test_rows=None, predicted=spark.createDataFrame([(1, 0, 0, 10.0, 14.0), (2, 0, 0, 20.0, 20.0)], kind))
+    queries.TABLE["gbt_forecast"](f)
+    got = queries.TABLE["gbt_verdict"](f).first()
+    assert min(seen) >= 20 and len(seen) == 2
+    assert (got["baseline_mae"], got["model_mae"], got["beats_baseline"]) == (2.0, 0.5, True)
