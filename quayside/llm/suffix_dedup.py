@@ -37,6 +37,8 @@ from quayside.llm.common import _BYTE, BROADCAST_ROWS, byte_list, chunked, prefi
 GROUP = 192
 #: Window starts in a class, level by level, where more regions meet.
 LEVELS = (24, 4, 1)
+#: Bytes without white space from which a repeat is long, however few its words.
+SOLID_BYTES = 400
 #: Rows of (document, extents) that a join broadcasts; beyond it, the join shuffles.
 EXTENTS = 200_000
 
@@ -397,7 +399,7 @@ def suffix_spans(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, gro
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(SPANS).alias("spans"))
 
 
-def _keep(min_words: int):
+def _keep(min_words: int, solid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, at = batch.schema.names, batch.schema.get_field_index("text")
@@ -406,7 +408,8 @@ def _keep(min_words: int):
                 if spans:
                     data, out, last = text.encode(), [], 0
                     for s in spans:
-                        if len(data[s["a"] : s["b"]].split()) > min_words:
+                        found = data[s["a"] : s["b"]].split()
+                        if len(found) > min_words or max(map(len, found), default=0) >= solid:
                             out.append(data[last : s["a"]])
                             last = s["b"]
                     # a span may start or end inside a character; what is left of it goes
@@ -418,16 +421,17 @@ def _keep(min_words: int):
     return run
 
 
-def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 240, min_words: int = 50, group: int = GROUP) -> DataFrame:
+def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 101, min_words: int = 50, group: int = GROUP) -> DataFrame:
     """``docs`` without passages of more than ``min_words`` words that repeat: of the maximal runs of bytes covered by strings of
-    ``min_bytes`` bytes that start twice in the table, those with more words go, in all their occurrences; shorter ones stay.
+    ``min_bytes`` bytes that start twice in the table, those with more words go, in all their occurrences, and so do those with a
+    stretch of ``SOLID_BYTES`` bytes without white space; shorter ones stay. 51 words have 101 bytes at least.
 
     All columns are kept; n_chars, if there, is set to the characters left in texts that changed. A text may become empty; no row goes.
     """
     found = with_spans(spark, docs, min_bytes, group)
     found = found.withColumn("text", F.col("text").cast("string"))
     schema = StructType([f for f in found.schema.fields if f.name != SPANS])
-    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(trimmed(_keep(min_words)), schema)
+    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(trimmed(_keep(min_words, SOLID_BYTES)), schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return found.where(F.col(SPANS).isNull()).drop(SPANS).unionByName(touched)

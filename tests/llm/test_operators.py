@@ -304,6 +304,17 @@ def test_sharding(spark, docs, texts, odd, none):
     assert sharding.shard_documents(spark, none).count() == 0
 
 
+def test_short_words_and_unspaced_passages_go(spark):
+    r = random.Random(6)
+    short = " ".join(r.choice("abcdefghij") for _ in range(60))
+    solid = "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(200))
+    few = " ".join("".join(r.choice("klmnop") for _ in range(9)) for _ in range(20))
+    own = [" ".join("".join(r.choice("qrstuv") for _ in range(7)) for _ in range(40)) + chr(0x3041 + i) for i in range(6)]
+    texts = [own[0] + short, own[1] + short, own[2] + solid, own[3] + solid, own[4] + few, own[5] + few]
+    got = by_id(suffix_dedup.remove_passages(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["text"] for i in range(6)] == [*own[:4], *texts[4:]]
+
+
 def test_spans_stay_with_their_rows_when_files_are_split_anew(spark, tmp_path, monkeypatch):
     r = random.Random(5)
     line = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
