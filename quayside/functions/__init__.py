@@ -12,14 +12,18 @@ DAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Satur
 DAYPARTS = [("morning_peak", 6, 9), ("midday", 10, 15), ("evening_peak", 16, 19), ("evening", 20, 23)]
 
 
-def day_of_week(ts: Column) -> Column:
-    """0 is Sunday."""
-    return (F.dayofweek(ts) - 1).cast("int")
+#: Microseconds.
+SECOND_US, HOUR_US, DAY_US = 1_000_000, 3_600_000_000, 86_400_000_000
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    """Second boundaries crossed from ``start`` to ``end``: 0.9 s to 1.1 s counts as one."""
-    return F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(start.cast("timestamp"))
+def units(us: Column, length: int) -> Column:
+    """Whole units of ``length`` microseconds since 1970; exact, as microseconds of some centuries fit a double."""
+    return F.floor(us / F.lit(float(length)))
+
+
+def seconds_between(start_us: Column, end_us: Column) -> Column:
+    """Second boundaries crossed from ``start_us`` to ``end_us`` (microseconds): 0.9 s to 1.1 s counts as one."""
+    return units(end_us, SECOND_US) - units(start_us, SECOND_US)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -26,7 +26,7 @@ def split(periods: DataFrame, fraction: float = 0.25) -> DataFrame:
 
 
 def part_of(mart: DataFrame, parts: DataFrame, part: str) -> DataFrame:
-    return mart.join(F.broadcast(parts.where(F.col("part") == part).select("period")), "period")  # a row a period
+    return mart.join(parts.where(F.col("part") == part).select("period"), "period")
 
 
 def train_cells(mart: DataFrame) -> DataFrame:

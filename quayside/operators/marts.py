@@ -15,13 +15,13 @@ def rph(revenue: str = "revenue", hours: str = "driver_hours") -> Column:
 
 
 def demand(fact: DataFrame, zones: DataFrame, times: DataFrame) -> DataFrame:
-    """zone x day of week x hour x period. Aggregated first, so only cells meet the dimensions; both dimensions are small by
-    construction (a city's zones, 168 hours) and are broadcast."""
+    """zone x day of week x hour x period. Aggregated first, so only cells meet the dimensions; whether a dimension is broadcast is
+    left to Spark, which knows its size."""
     cells = fact.groupBy(F.col("pickup_zone_id").alias("zone_id"), "dow", F.col("pickup_hour").alias("hour"), "period").agg(
         F.count("*").alias("trips"), F.sum("fare_total").alias("revenue"), F.sum("duration_hours").alias("driver_hours"), F.avg("fare_total").alias("mean_fare"),
         F.avg("distance_mi").alias("mean_distance"), (F.avg("duration_sec") / 60.0).alias("mean_duration_min"), F.sum("tip").alias("tips"), F.count_distinct("pickup_date").alias("days_observed"),
     )
-    named = cells.join(F.broadcast(zones), "zone_id").join(F.broadcast(times), ["dow", "hour"])
+    named = cells.join(zones, "zone_id").join(times, ["dow", "hour"])
     return named.select(
         "zone_id", *PLACE, "dow", "dow_name", "hour", "hour_of_week", "is_weekend", "daypart", "period", "trips", "revenue", "driver_hours", "mean_fare", "mean_distance", "mean_duration_min",
         "tips", "days_observed", ratio(F.col("trips"), F.col("days_observed")).alias("trips_per_day"), ratio(F.col("revenue"), F.col("days_observed")).alias("revenue_per_day"),
@@ -59,7 +59,7 @@ def cell_mart(fact: DataFrame, zones: DataFrame) -> DataFrame:
         F.count("*").alias("trips"), F.sum("fare_total").alias("revenue"), F.sum("duration_hours").alias("driver_hours"), F.avg("fare_total").alias("mean_fare"),
         F.avg("distance_mi").alias("mean_distance"), F.count_distinct("pickup_date").alias("days_observed"),
     )
-    named = cells.join(F.broadcast(zones), "zone_id")
+    named = cells.join(zones, "zone_id")
     return named.select(*cells.columns, "zone_name", "borough", ratio(F.col("trips"), F.col("days_observed")).alias("trips_per_day"), ratio(F.col("revenue"), F.col("driver_hours")).alias("revenue_per_driver_hour"))
 
 
@@ -90,6 +90,7 @@ def checks(fact: DataFrame, mart: DataFrame, zones: DataFrame, times: DataFrame,
     trips = lambda df, c="trips": df.agg(F.sum(c).cast("double").alias("v"))
     count = lambda df: df.agg(F.count("*").cast("double").alias("v"))
     const = lambda x: times.limit(1).select(F.lit(float(x)).alias("v"))
+    # fixed values: the checks' names
     rows = [
         ("demand_trips_equal_fact_trips", trips(mart), count(fact)),
         ("demand_revenue_equals_fact_revenue", mart.agg(F.round(F.sum("revenue")).alias("v")), fact.agg(F.round(F.sum("fare_total")).alias("v"))),
@@ -99,7 +100,7 @@ def checks(fact: DataFrame, mart: DataFrame, zones: DataFrame, times: DataFrame,
         ("monthly_ties_to_demand", trips(by_period(mart)), trips(mart)),
         ("hour_of_week_spine_is_complete", count(times), const(168)),
         ("no_unknown_zones_survived", count(mart.where(F.col("zone_id").isin(*unknown))), const(0)),
-        ("every_demand_zone_exists_in_dim", count(mart.join(F.broadcast(zones), "zone_id", "left_anti")), const(0)),
+        ("every_demand_zone_exists_in_dim", count(mart.join(zones, "zone_id", "left_anti")), const(0)),
     ]
     out = None
     for name, *sides in rows:

@@ -33,7 +33,7 @@ class Frames:
 
     @cached_property
     def fact(self) -> DataFrame:
-        return trips.fact_trips(trips.clean_columns(self.marked.where("status = 'ok'")))
+        return trips.fact_trips(trips.clean_columns(quality.good(trips.order_trips(self.spark, self.folder), quality.YEAR_RULES)))
 
     @cached_property
     def mart(self) -> DataFrame:
