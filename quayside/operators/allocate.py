@@ -20,14 +20,14 @@ POLICIES = ["revenue_per_hour", "trip_volume", "uniform"]
 HOUR = ["fleet", "dow", "hour"]
 
 
-def capacity(trips: Column, multiple: float = MULTIPLE) -> Column:
+def capacity(trips: Column, multiple: float = MULTIPLE, drivers_per_trip: float = 1.0) -> Column:
     """Drivers that a cell can keep busy; at least one."""
-    return F.greatest(F.lit(1).cast("bigint"), truncated(trips * multiple))
+    return F.greatest(F.lit(1).cast("bigint"), truncated(trips * drivers_per_trip * multiple))
 
 
-def with_fleets(cells: DataFrame, fleets: Sequence[int]) -> DataFrame:
+def with_fleets(cells: DataFrame, fleets: Sequence[int], drivers_per_trip: float = 1.0) -> DataFrame:
     """Each cell once per fleet size, with its capacity."""
-    return cells.withColumn("capacity", capacity(F.col("trips_per_day"))).withColumn("fleet", F.explode(F.array(*(F.lit(f).cast("bigint") for f in fleets))))
+    return cells.withColumn("capacity", capacity(F.col("trips_per_day"), MULTIPLE, drivers_per_trip)).withColumn("fleet", F.explode(F.array(*(F.lit(f).cast("bigint") for f in fleets))))
 
 
 def top_cells(cells: DataFrame, k: int) -> DataFrame:
@@ -89,9 +89,9 @@ def uniform(cells: DataFrame) -> DataFrame:
 PLACE = dict(zip(POLICIES, (by_revenue, by_volume, uniform), strict=True))
 
 
-def assign(cells: DataFrame, fleets: Sequence[int], policies: Sequence[str] = POLICIES) -> DataFrame:
+def assign(cells: DataFrame, fleets: Sequence[int], policies: Sequence[str] = POLICIES, drivers_per_trip: float = 1.0) -> DataFrame:
     """Assignments of all policies for all fleet sizes."""
-    rows, out = with_fleets(cells, fleets), None
+    rows, out = with_fleets(cells, fleets, drivers_per_trip), None
     for p in policies:
         part = PLACE[p](rows)
         out = part if out is None else out.unionByName(part)

@@ -22,7 +22,7 @@ def moving_average(series: DataFrame, width: int, out: str = "trend") -> DataFra
 def decompose(series: DataFrame, period: int) -> DataFrame:
     """Adds trend, seasonal (sums to zero over a period) and residual. Fails for a series shorter than two periods."""
     whole = Window.partitionBy("series_id")
-    long = F.when(F.count(F.lit(1)).over(whole) < 2 * period, F.raise_error(F.lit(f"need at least two full periods ({2 * period})"))).otherwise(F.col("observed"))
+    long = F.when(F.count(F.lit(1)).over(whole) < 2 * period, F.raise_error(F.lit(f"a series shorter than two full periods of {period} points has no seasons"))).otherwise(F.col("observed"))
     rows = moving_average(series.withColumn("observed", long), period).withColumn("place", F.col("i") % period)
     means = rows.groupBy("series_id", "place").agg(F.avg(F.col("observed") - F.col("trend")).alias("m"))
     means = means.withColumn("m", F.col("m") - F.avg("m").over(whole))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.operators import allocate as place
 from quayside.operators import marts
 from quayside.plans.frames import Frames
+from quayside.sources import documents
 
 METRICS = {"revenue_per_driver_hour", "mean_trips_per_day", "total_revenue"}
 
@@ -55,5 +56,15 @@ def compare(frames: Frames, fleet: int = 300, hour: int = 18, dow: int = 3) -> D
     return place.compare(place.assign(_hour(frames, fleet, hour, dow), [fleet]), spine, fleet)
 
 
+def summary(spark: SparkSession, out: str) -> dict:
+    """The stored summary; LookupError before the first report."""
+    return documents.read(spark, f"{out}/summary.json")
+
+
+def backtest(spark: SparkSession, out: str) -> dict:
+    """The stored backtest; LookupError before the first report."""
+    return documents.read(spark, f"{out}/backtest.json")
+
+
 def health(frames: Frames) -> DataFrame:
     return frames.serving.agg(F.count("*").alias("cells"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import rounded
 from quayside.operators import allocate, backtest, forecast, marts, quality, seasonal
-from quayside.plans import api
+from quayside.plans import api, warehouse
 from quayside.plans.frames import FLEETS, MIN_TRIPS, Frames
 from quayside.sources import load, trips
 
@@ -42,7 +42,7 @@ def _coverage(f: Frames) -> DataFrame:
 
 def _orphans(f: Frames) -> DataFrame:
     """Raw trips by pickup code that the zone table doesn't have."""
-    rows = f.marked.where("pickup_zone_id is not null").join(F.broadcast(f.zones), F.col("pickup_zone_id") == F.col("zone_id"), "left_anti")
+    rows = f.marked.where("pickup_zone_id is not null").join(f.zones, F.col("pickup_zone_id") == F.col("zone_id"), "left_anti")
     return rows.groupBy("pickup_zone_id").agg(F.count("*").alias("trips"))
 
 
@@ -55,27 +55,71 @@ def _month_of_file(f: Frames) -> DataFrame:
     return names.select("file", trips.month_of_file(F.col("file")).alias("month"))
 
 
-def _incremental_load(f: Frames) -> DataFrame:
-    """Writes the order tables' trips as raw files, one for each month of orders, and loads the folder three times: fresh, unchanged,
-    forced. One row a run and period."""
-    conf = f.spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{(conf or tempfile.gettempdir()).rstrip('/')}/load-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or, only where Spark runs in one process, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _monthly_files(f: Frames, root: str) -> None:
+    """The order tables' trips as raw files in root/raw, one for each month of orders."""
     raw = trips.order_trips(f.spark, f.folder, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
     raw.select(*(F.col(b).alias(a) for a, b, _ in trips.RAW_COLUMNS), "month").repartition("month").write.partitionBy("month").parquet(f"{root}/new")
-    jvm, hadoop = f.spark.sparkContext._jvm, f.spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(hadoop)
+    path = f.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(f.spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{root}/raw"))
     for s in fs.listStatus(path(f"{root}/new")):
         if (name := s.getPath().getName()).startswith("month="):
             (part,) = (x.getPath() for x in fs.listStatus(s.getPath()) if x.getPath().getName().startswith("part-"))
             fs.rename(part, path(f"{root}/raw/yellow_tripdata_{name.removeprefix('month=')}.parquet"))
+    fs.delete(path(f"{root}/new"), True)
+
+
+def _incremental_load(f: Frames) -> DataFrame:
+    """Writes the order tables' trips as raw monthly files and loads the folder three times: fresh, unchanged, forced. One row a run
+    and period."""
+    root = shared_folder(f.spark, "load")
+    _monthly_files(f, root)
     done = [(i, x) for i, force in enumerate((False, False, True)) for x in load.load_folder(f.spark, f"{root}/raw", f"{root}/store", force)]
     period = F.substring(F.col("period").cast("string"), 1, 7).alias("period")
     stored = {r["period"]: r["n"] for r in trips.stored_trips(f.spark, f"{root}/store/trips").groupBy(period).agg(F.count("*").alias("n")).collect()}  # a row a month
     return f.spark.createDataFrame([(i, x.period, x.skipped, x.source_rows, x.loaded_rows, x.excluded_rows, stored.get(x.period, 0)) for i, x in done], "run int, period string, skipped boolean, source_rows long, loaded_rows long, excluded_rows long, stored_rows long")
 
 
+def _raw_files(f: Frames) -> DataFrame:
+    """Stored trips of two months, read from raw files, loaded, and read again by partition."""
+    root = shared_folder(f.spark, "raw")
+    _monthly_files(f, root)
+    load.load_folder(f.spark, f"{root}/raw", f"{root}/store", months=["1996-03", "1997-01"])
+    stored = trips.stored_trips(f.spark, f"{root}/store/trips", ["1997-01"])
+    return trips.fact_trips(stored).groupBy(F.col("period").cast("string").alias("period"), "dow", "pickup_hour").agg(F.count("*").alias("trips"), F.sum("fare_total").alias("revenue"), F.sum("duration_hours").alias("driver_hours"))
+
+
+def _csv_zones(f: Frames) -> DataFrame:
+    """The zone table written as a lookup CSV, with two codes that stand for no place, and read again."""
+    root = shared_folder(f.spark, "zones")
+    rows = f.zones.select(F.col("zone_id").alias("LocationID"), F.col("borough").alias("Borough"), F.col("zone_name").alias("Zone"), "service_zone")
+    more = f.spark.createDataFrame([(x, "Unknown", "N/A", "N/A") for x in trips.UNKNOWN_ZONES], rows.schema)
+    rows.unionByName(more).write.csv(root, header=True)
+    return trips.read_zones(f.spark, root)
+
+
+def _stored_warehouse(f: Frames) -> DataFrame:
+    """All tables stored and read again: rows of each, and trips of those that count them."""
+    stored, report = warehouse.build(f, shared_folder(f.spark, "warehouse"), trips.UNKNOWN_NATIONS)
+    sums = {n: (stored.table(n).agg(F.sum(c)).first()[0]) for n, c in (("mart_demand", "trips"), ("mart_demand_profile", "total_trips"), ("mart_zone_summary", "trips"), ("mart_hourly_profile", "trips"), ("mart_monthly", "trips"))}
+    return f.spark.createDataFrame([(n, r["rows"], sums.get(n)) for n, r in report["tables"].items()], "name string, rows long, trips long")
+
+
+def _importance(f: Frames) -> DataFrame:
+    found = forecast.importances(forecast.fit(f.train_rows))
+    return f.spark.createDataFrame(list(found.items()), "feature string, importance double")
+
+
 def _hour_of(f: Frames, policy: str) -> DataFrame:
     return allocate.assign(f.serving.where("dow = 4 and hour = 18"), [10], [policy])
 
@@ -140,6 +184,12 @@ TABLE: dict[str, Q] = {
     "gbt_verdict": lambda f: forecast.verdict(forecast.metrics(f.predicted, "historical_cell_mean"), forecast.metrics(forecast.boosted(f.train_rows, f.test_rows), "boosted")),
     "month_of_file": _month_of_file,
     "incremental_load": _incremental_load,
+    "stored_month": _raw_files,
+    "csv_zones": _csv_zones,
+    "stored_warehouse": _stored_warehouse,
+    "feature_importance": _importance,
+    "health": api.health,
+    "capacity_two_drivers": lambda f: f.serving.select("zone_id", "dow", "hour", allocate.capacity(F.col("trips_per_day"), 1.5, 2.0).alias("capacity")),
 }
 
 

@@ -2,15 +2,18 @@
 
 import datetime as dt
 import inspect
+import re
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from quayside import registry
+from quayside import cli, registry
 from quayside.operators import allocate, backtest, forecast, marts, quality, seasonal
-from quayside.plans import queries
-from quayside.sources import trips
+from quayside.plans import api, queries
+from quayside.plans.frames import Frames
+from quayside.sources import load, trips
+from quayside.streaming import loader
 
 
 def test_quality_rules(spark):
@@ -119,3 +122,140 @@ def test_boosted_model_has_its_rounds_and_is_judged(spark, monkeypatch):
     got = queries.TABLE["gbt_verdict"](f).first()
     assert min(seen) >= 20 and len(seen) == 2
     assert (got["baseline_mae"], got["model_mae"], got["beats_baseline"]) == (2.0, 0.5, True)
+
+
+@pytest.mark.parametrize("name", ["fact_totals", "mart_demand", "quality_breakdown", "reconciliation"])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        package = spark._jvm.org.apache.spark.sql.execution.debug
+        code = getattr(getattr(package, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # beyond it, the JVM interprets a method for good
+
+
+def test_good_rows_are_those_of_status_ok(spark):
+    rows = trips.order_trips(spark, "/root/testdata/sf0.001")
+    marked = quality.classify(rows, quality.YEAR_RULES).where("status = 'ok'").drop("status")
+    kept = quality.good(rows, quality.YEAR_RULES)
+    assert kept.count() > 1000 and kept.exceptAll(marked).count() == marked.exceptAll(kept).count() == 0
+
+
+def _raw(spark, path, month, n, bad=0, fare="double", **change):
+    """A raw file of n trips, of which the first ``bad`` have no distance to speak of."""
+    rows = spark.range(n).select(
+        (F.lit(f"{month}-03 10:00:00").cast("timestamp_ntz")).alias("tpep_pickup_datetime"), (F.lit(f"{month}-03 10:20:00").cast("timestamp_ntz")).alias("tpep_dropoff_datetime"),
+        F.lit(1).alias("PULocationID"), F.lit(2).alias("DOLocationID"), F.lit(1).cast(fare).alias("passenger_count"), F.when(F.col("id") < bad, 0.0).otherwise(3.0).alias("trip_distance"),
+        F.lit(change.get("total", 20.0)).alias("total_amount"), F.lit(18.0).alias("fare_amount"), F.lit(2.0).alias("tip_amount"), F.lit("x").alias("unused"),
+    )
+    file = f"{path}/yellow_tripdata_{month}.parquet"
+    rows.toPandas().to_parquet(file, coerce_timestamps="us")
+    return file
+
+
+def test_load_skips_forces_and_finds_files_changed_in_place(spark, tmp_path):
+    raw, root = tmp_path / "raw", f"{tmp_path}/store"
+    raw.mkdir()
+    for month, n, bad, kind in (("2024-01", 30, 3, "double"), ("2024-02", 20, 0, "long"), ("2024-03", 10, 10, "double")):
+        _raw(spark, raw, month, n, bad, kind)
+    first = load.load_folder(spark, str(raw), root)
+    assert [(x.period, x.skipped, x.source_rows, x.loaded_rows, x.excluded_rows) for x in first] == [("2024-01", False, 30, 27, 3), ("2024-02", False, 20, 20, 0), ("2024-03", False, 10, 0, 10)]
+    assert load.load_summary(first) == {"periods": 3, "skipped": 0, "source_rows": 60, "loaded_rows": 47, "excluded_rows": 13, "excluded_pct": 21.6667}
+    assert all(x.skipped for x in load.load_folder(spark, str(raw), root))
+    counts = lambda: {r["period"]: r["count"] for r in trips.stored_trips(spark, f"{root}/trips").groupBy(F.substring(F.col("period").cast("string"), 1, 7).alias("period")).count().collect()}
+    assert counts() == {"2024-01": 27, "2024-02": 20}
+    # a file that changes in place, to one without a good row
+    _raw(spark, raw, "2024-01", 12, 12)
+    again = load.load_folder(spark, str(raw), root)
+    assert [x.skipped for x in again] == [False, True, True] and again[0].loaded_rows == 0
+    assert counts() == {"2024-02": 20}
+    assert not any(x.skipped for x in load.load_folder(spark, str(raw), root, force=True)) and counts() == {"2024-02": 20}
+    assert {r["period"] for r in load.read_watermark(spark, root).collect()} == {"2024-01", "2024-02", "2024-03"}
+    assert [x.period for x in load.load_folder(spark, str(raw), root, months=1)] == ["2024-01"]
+    with pytest.raises(FileNotFoundError):
+        load.load_folder(spark, str(tmp_path), root)
+
+
+def test_a_load_that_breaks_off_is_made_good(spark, tmp_path, monkeypatch):
+    raw, root = tmp_path / "raw", f"{tmp_path}/store"
+    raw.mkdir()
+    file = _raw(spark, raw, "2024-05", 8)
+    load.load_file(spark, file, root)
+    monkeypatch.setattr(load, "clean_columns", lambda df: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        load.load_file(spark, file, root, force=True)
+    monkeypatch.undo()
+    assert not load.load_file(spark, file, root).skipped and trips.stored_trips(spark, f"{root}/trips").count() == 8
+
+
+def test_partitions_are_pruned_and_columns_too(spark, tmp_path):
+    raw, root = tmp_path / "raw", f"{tmp_path}/store"
+    raw.mkdir()
+    for month in ("2024-01", "2024-02"):
+        _raw(spark, raw, month, 5)
+    load.load_folder(spark, str(raw), root)
+    plan = trips.stored_trips(spark, f"{root}/trips", ["2024-02"]).select("fare_total")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "period" in plan.split("PartitionFilters: [")[1].split("]")[0] and "ReadSchema: struct<fare_total:double>" in plan
+    one = trips.read_trips(spark, f"{raw}/yellow_tripdata_2024-01.parquet")
+    assert one.count() == 5 and "unused" not in one.columns
+
+
+def test_stream_loads_what_is_new(spark, tmp_path):
+    raw, root = tmp_path / "raw", f"{tmp_path}/store"
+    raw.mkdir()
+    for month in ("2024-01", "2024-02"):
+        _raw(spark, raw, month, 5)
+        loader.load_stream(spark, str(raw), root, f"{tmp_path}/check").awaitTermination()
+    assert {r["period"] for r in load.read_watermark(spark, root).collect()} == {"2024-01", "2024-02"}
+
+
+def test_gate(spark):
+    kind = "check_name string, left_value double, right_value double, passed boolean"
+    marts.gate(spark.createDataFrame([("a", 1.0, 1.0, True)], kind))
+    with pytest.raises(marts.ReconciliationError, match="b, c"):
+        marts.gate(spark.createDataFrame([("a", 1.0, 1.0, True), ("b", 1.0, 2.0, False), ("c", None, 2.0, None)], kind))
+
+
+def test_serving_functions_refuse_bad_parameters(spark):
+    f = Frames(spark, "/root/testdata/sf0.001")
+    for call in (lambda: api.heatmap(f, "x"), lambda: api.allocate(f, 0), lambda: api.allocate(f, 20_001), lambda: api.allocate(f, hour=24), lambda: api.allocate(f, dow=7), lambda: api.allocate(f, policy="x"), lambda: api.compare(f, dow=-1)):
+        with pytest.raises(ValueError):
+            call()
+    assert api.allocate(f, 40, 18, 4, limit=3).count() <= 3 and api.health(f).first()["cells"] > 0
+
+
+def test_reports_are_written_and_served(spark, tmp_path, monkeypatch):
+    with pytest.raises(LookupError):
+        api.summary(spark, str(tmp_path))
+    fit = forecast.fit
+    monkeypatch.setattr(forecast, "fit", lambda train, rounds=20, seed=7: fit(train, min(rounds, 2), seed))
+    assert cli.main(["report", "/root/testdata/sf0.001", str(tmp_path)], spark) == 0
+    got = api.summary(spark, str(tmp_path))
+    assert got["data"]["source_rows"] > got["data"]["loaded_rows"] > 0 and got["reconciliation"] == {"checks": 9, "all_passed": True}
+    assert got["forecast"]["verdict"] in ("model", "baseline") and abs(sum(got["forecast"]["feature_importance"].values()) - 1) < 1e-6
+    assert got["forecast"]["model"]["n"] == got["forecast"]["baseline"]["n"] == got["forecast"]["test_rows"]
+    assert 0 < len(got["zones_by_volume"]) <= 12 and got["seasonal"]["period"] == 168
+    back = api.backtest(spark, str(tmp_path))
+    assert len(back["results"]) == 12 and len(back["lift"]) == 4 and back["test_periods"] and back["test_periods"][0] > back["train_periods"][-1]
+
+
+def test_command_line_loads_and_verifies(spark, tmp_path, capsys):
+    raw, store = tmp_path / "raw", f"{tmp_path}/store"
+    raw.mkdir()
+    for month in ("2024-01", "2024-02"):
+        _raw(spark, raw, month, 6, 1)
+    (tmp_path / "zones.csv").write_text("LocationID,Borough,Zone,service_zone\n1,Queens,Astoria,Boro Zone\n2,EWR,Newark,EWR\n264,Unknown,N/A,N/A\n")
+    assert cli.main(["load", str(raw), store], spark) == 0 and "2024-02 6 read, 5 kept, 1 left out\n" in capsys.readouterr().out
+    assert cli.main(["load", str(raw), store, "--months", "1"], spark) == 0 and ", unchanged" in capsys.readouterr().out
+    assert cli.main(["totals", store, f"{tmp_path}/zones.csv", "--verify", "--top", "1"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Astoria" in out and '"trips": 10' in out and "totals agree" in out
+    assert cli.main(["totals", store, f"{tmp_path}/zones.csv", "--months", "1"], spark) == 0 and '"trips": 5' in capsys.readouterr().out
+
+
+def test_capacity_scales_with_drivers_per_trip(spark):
+    row = spark.createDataFrame([(40.0,)], "t double").select(allocate.capacity(F.col("t")).alias("a"), allocate.capacity(F.col("t"), 1.5, 2.0).alias("b"), allocate.capacity(F.lit(0.0), 1.5, 9.0).alias("c")).first()
+    assert tuple(row) == (60, 120, 1)
