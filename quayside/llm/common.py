@@ -136,6 +136,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted: by sorting, which on large arrays of integers is many times faster than numpy's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64; kept, up to a bound, between calls."""
     out = []

@@ -369,6 +369,41 @@ def test_lm_filter_holds_all_ngrams_at_any_size(spark, docs, odd, none):
     assert lm_bloom.lm_score(spark, odd, filter_bytes=0).count() == 6 and lm_bloom.lm_score(spark, none, filter_bytes=0).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark, docs, texts):
+    """From exact counts, quantised as the filter has them; a probe may take an n-gram for a little more frequent than it is."""
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
+    learn = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = lambda n: float(lm_bloom.expected(lm_bloom.quantise(np.array(n))))
+    one = Counter(w for i in learn for w in tokens[i])
+    two = Counter(x for i in learn for x in zip([None, *tokens[i]], tokens[i], strict=False))
+    total = sum(held(c) for c in one.values()) + len(one) + 1
+    # dealt in one step and in several, and in few and many buckets
+    runs = [by_id(lm_bloom.lm_score(spark, docs)), by_id(lm_bloom.lm_score(spark, docs, bucket_bytes=500, digit=2))]
+    for i, t in tokens.items():
+        sums = []
+        for most, half in lm_bloom.TRUST:
+            s = 0.0
+            for v, w in zip([None, *t], t, strict=False):
+                cv, cvw = held(one[v]), held(two[v, w])
+                k = most * cv / (cv + half)
+                s += math.log(k * min(cvw / max(cv, 1), 1) + (1 - k) * (held(one[w]) + 1) / total)
+            sums.append(s)
+        want = (np.logaddexp.reduce(sums) - math.log(len(sums))) / math.log(10)
+        for got in runs:
+            assert abs(got[i]["score"] - want) <= 0.02 * abs(want) + 0.5
+    # the probabilities of all words after one, and of one unknown, make 1 for exact counts
+    v = texts[5].split()[0].translate(LOWER)
+    if max(n for (a, _), n in two.items() if a == v) < 8 and one[v] < 8:
+        k = 0.5 * one[v] / (one[v] + 10)
+        assert sum(k * two[v, w] / one[v] + (1 - k) * (held(one[w]) + 1) / total for w in one) + (1 - k) / total == pytest.approx(1)
+
+
+def test_levels_are_exact_for_small_counts():
+    n = np.arange(1, 100_000)
+    assert (np.diff(lm_bloom.quantise(n)) >= 0).all() and (lm_bloom.expected(lm_bloom.quantise(n[:6])) == n[:6]).all() and len(lm_bloom.LOWS) < 256
+    assert (np.abs(lm_bloom.expected(lm_bloom.quantise(n)) / n - 1) < 0.1).all() and lm_bloom.expected(np.zeros(1, int))[0] == 0
+
+
 def test_log_filter_never_undercounts():
     r = np.random.default_rng(3)
     key = np.unique(r.integers(0, 1 << 63, 5000).astype(np.uint64)) * np.uint64(2)
