@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import expand, mix, prefix_hash, span_hash, trimmed, tune, U
+from quayside.llm.common import distinct as different, expand, mix, prefix_hash, span_hash, trimmed, tune, U
 
 #: Characters that are cut into words at once.
 CHUNK_CHARS = 1 << 17
@@ -200,7 +200,7 @@ def merge(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     while active:
         r = heapq.heappop(active)
         lists = index.pop(r)
-        p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        p = lists[0] if len(lists) == 1 else different(np.concatenate(lists))
         a, b = v.left[r], v.right[r]
         q = after[p]
         live = (symbol[p] == a) & (q >= 0) & (symbol[q] == b)
@@ -221,7 +221,7 @@ def merge(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         front = before[p]
         touched = np.concatenate([front[front >= 0], p[has]])
         if len(touched):
-            add(np.unique(touched) if a == b else touched)
+            add(different(touched) if a == b else touched)
     left = symbol >= 0
     return symbol[left], np.concatenate([[0], np.cumsum(left)])[first]
 
