@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from quayside.llm.common import Scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(scratch: Scratch, edges: DataFrame, large: bool, name: str) -> DataFrame:
     """Link the neighbours of every node to the smallest of them: its larger ones (large) or smaller ones (small).
 
-    A hub is never gathered: the minimum is a partially aggregated groupBy, and the join back can be split by AQE.
+    A hub is never gathered: the minimum is a partially aggregated groupBy, written as a table of its own so that both sides of the
+    join back are plain shuffles, of which AQE splits a skewed one, or that it broadcasts if it is small.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")), name)
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,9 +37,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
     for i in range(1, rounds):
         if not before[0]:
             break
-        state = scratch.write(_stars(_stars(state, True), False), f"{name}-{i}")
+        wide = scratch.write(_stars(scratch, state, True, f"{name}-{i}-least"), f"{name}-{i}-wide")
+        state = scratch.write(_stars(scratch, wide, False, f"{name}-{i}-own"), f"{name}-{i}")
         now = state.agg(mark).first()[0]
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(*(f"{name}-{x}" for x in (i - 1, f"{i}-least", f"{i}-wide", f"{i}-own")))
         if now == before:
             break
         before = now

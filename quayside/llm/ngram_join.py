@@ -7,13 +7,15 @@ Plan
    of the table is one row from here on.
 2. Band hashes are shuffled; each bucket links its members to its smallest one, and the linked documents' components are the
    candidate clusters. Nothing is emitted per pair.
-3. Only clustered representatives have their shingle sets cut again from the text. A cluster of up to ``BLOCK``
-   representatives is verified in one task; a larger one is dealt by set size and salt into blocks, and every two blocks whose
-   sizes allow the threshold meet in one task. So no group is gathered whole, and each pair is verified exactly once.
+3. Only clustered representatives have their shingle sets cut again from the text. Groups of them are compared: a whole cluster, or,
+   where that is fewer pairs, each bucket of a cluster (low similarities chain buckets into large clusters), a pair in the first
+   band that it shares. A group of up to ``BLOCK`` is verified in one task; a larger one is dealt by set size and salt into blocks,
+   and every two blocks whose sizes allow the threshold meet in one task. So no group is gathered whole, and each pair is verified
+   exactly once.
 4. A task emits one row per document (its number of links) and a spanning forest of its links, never its pairs.
 
-With 20 bands of 4 rows a pair of similarity 0.8 becomes a candidate with probability 1 - (1 - 0.8**4)**20 = 0.99997; the
-cluster then compares *all* its members, so a pair that shares no band is still found through a common neighbour.
+With 20 bands of 4 rows a pair of similarity 0.8 becomes a candidate with probability 1 - (1 - 0.8**4)**20 = 0.99997; a cluster
+that is compared as a whole finds even a pair that shares no band, through a common neighbour.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import byte_list, chunked, mix, Scratch, shingles, sized, trimmed, tune, U, Words
+from quayside.llm.common import byte_list, chunked, distinct, mix, Scratch, shingles, sized, trimmed, tune, U, Words
 from quayside.llm.graph import components
 
 #: Representatives of a cluster that one task compares with each other or with another block.
@@ -61,7 +63,7 @@ def signatures(docs: list[bytes], n: int, bands: int, rows: int) -> tuple[np.nda
             for r in range(rows):
                 h = mix(h * U(0x9E3779B97F4A7C15) + sign[:, b * rows + r].astype(np.uint64))
             out[lo + has, b] = h
-        sizes[lo + has] = [len(np.unique(key[s:e])) for s, e in zip(begin, [*begin[1:], len(key)], strict=True)]
+        sizes[lo + has] = [len(distinct(key[s:e])) for s, e in zip(begin, [*begin[1:], len(key)], strict=True)]
     return sizes, out
 
 
@@ -93,7 +95,7 @@ def _cut_shingles(n: int):
             for lo, hi in chunked(docs):
                 key, owner = shingles(Words(docs[lo:hi]), n)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-                sets += [np.unique(key[s:e]).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                sets += [distinct(key[s:e]).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in docs], pa.binary()), pa.array(sets, pa.binary())], ["digest", "grams"])
 
     return run
@@ -128,6 +130,8 @@ def _verify(threshold: float):
     def finish(task: list[tuple]) -> tuple[list, list, list]:
         docs = [x[0] for x in task]
         sets = [np.frombuffer(x[3], np.uint64) for x in task]
+        band = task[0][4]  # of a bucket's task; null if it is a cluster's
+        bands = None if band is None else np.array([x[5] for x in task])
         side = np.array([x[2] for x in task])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
@@ -142,6 +146,8 @@ def _verify(threshold: float):
 
         for a, b in _linked(sets, left, right, threshold) if len(left) and len(right) else ():
             i, j = int(left[a]), int(right[b])
+            if band is not None and np.flatnonzero(bands[i] == bands[j])[0] != band:
+                continue  # met in an earlier band
             links[i] += task[j][1]
             links[j] += task[i][1]
             if (p := root(i)) != (q := root(j)):
@@ -154,7 +160,7 @@ def _verify(threshold: float):
         key, task = None, []
         for batch in batches:
             columns = batch.to_pydict()
-            for k, *row in zip(columns["task"], columns["rep"], columns["copies"], columns["side"], columns["grams"], strict=True):
+            for k, *row in zip(columns["task"], columns["rep"], columns["copies"], columns["side"], columns["grams"], columns["band"], columns["bands"], strict=True):
                 if k != key and task:
                     u, v, w = finish(task)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int64())], ["u", "v", "links"])
@@ -168,24 +174,42 @@ def _verify(threshold: float):
     return run
 
 
-def _tasks(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def _groups(scratch: Scratch, members: DataFrame, buckets: DataFrame, hubs: DataFrame, block: int) -> DataFrame:
+    """The groups whose members are compared: every member by ``group`` and ``band`` (null in a cluster), with the group's size m.
+
+    A cluster beyond ``block`` is compared bucket by bucket if that takes fewer pairs. Buckets of one cluster with the same members
+    count once, as the first band in which a pair meets is that of the earliest of them.
+    """
+    sizes = scratch.write(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster-sizes")
+    large = sizes.where(F.col("m") > block)
+    of = hubs.join(members.select(F.col("rep").alias("hub"), "cluster"), "hub").join(large.withColumnRenamed("m", "whole"), "cluster")
+    once = scratch.write(of.groupBy("cluster", "m", "mark", "cross", "whole").agg(F.min(F.struct("band", "bucket")).alias("b")).select("cluster", "m", "whole", "b.*"), "bucket-groups")
+    pairs = once.groupBy("cluster", "whole").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    split = scratch.write(pairs.where(F.col("pairs") < F.col("whole") * F.col("whole")).select("cluster"), "split-clusters")
+    columns = ["rep", "digest", "size", "copies"]
+    whole = members.join(sizes.join(split, "cluster", "left_anti"), "cluster").select(*columns, F.col("cluster").alias("group"), F.lit(None).cast("int").alias("band"), "m")
+    chosen = scratch.write(once.join(split, "cluster", "left_semi").select("bucket", "m"), "chosen-buckets")
+    parts = buckets.join(chosen, "bucket").join(members.select(*columns), "rep").select(*columns, F.col("bucket").alias("group"), "band", "m")
+    return scratch.write(whole.unionByName(parts), "groups")
+
+
+def _tasks(scratch: Scratch, groups: DataFrame, threshold: float, block: int) -> DataFrame:
     """One row for each task that a member takes part in: task, side (0, or 1 for the second of two blocks)."""
-    band = F.floor(F.log("size") / F.lit(-math.log(threshold))).cast("int")
-    whole = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    small = members.join(whole, "cluster")
-    one = small.where(F.col("m") <= block).select("rep", "digest", "copies", F.xxhash64(F.lit(0), "cluster").alias("task"), F.lit(0).alias("side"))
-    big = small.where(F.col("m") > block).withColumn("s", band).drop("m")
-    count = big.groupBy("cluster", "s").agg(F.count("*").alias("m"))
-    parts = count.select("cluster", "s", F.ceil(F.col("m") / block).cast("int").alias("parts"))
-    near = parts.select("cluster", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"), F.col("s").alias("t"), "parts")
-    other = near.groupBy("cluster", "s").agg(F.collect_list(F.struct("t", "parts")).alias("others"))  # three at most
-    own = parts.join(other, ["cluster", "s"])
-    dealt = big.join(own, ["cluster", "s"]).withColumn("j", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("parts")).cast("int"))
-    met = dealt.select("rep", "digest", "copies", "cluster", "s", "j", F.explode(F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["parts"] - 1), lambda k: F.struct(o["t"].alias("t"), k.alias("k")))))).alias("o"))
+    step = F.floor(F.log("size") / F.lit(-math.log(threshold))).cast("int")
+    kind = F.coalesce("band", F.lit(-1))
+    one = groups.where(F.col("m") <= block).select("rep", "digest", "copies", "band", F.xxhash64(F.lit(0), "group", kind).alias("task"), F.lit(0).alias("side"))
+    big = groups.where(F.col("m") > block).withColumn("s", step).drop("m")
+    count = big.groupBy("group", "s").agg(F.count("*").alias("m"))
+    parts = count.select("group", "s", F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    near = parts.select("group", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"), F.col("s").alias("t"), "parts")
+    other = near.groupBy("group", "s").agg(F.collect_list(F.struct("t", "parts")).alias("others"))  # three at most
+    own = scratch.write(parts.join(other, ["group", "s"]), "parts")
+    dealt = big.join(own, ["group", "s"]).withColumn("j", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("parts")).cast("int"))
+    met = dealt.select("rep", "digest", "copies", "band", "group", "s", "j", F.explode(F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["parts"] - 1), lambda k: F.struct(o["t"].alias("t"), k.alias("k")))))).alias("o"))
     first = (F.col("s") < F.col("o.t")) | ((F.col("s") == F.col("o.t")) & (F.col("j") <= F.col("o.k")))
     low, high = F.struct(F.col("s").alias("a"), F.col("j").alias("b")), F.struct(F.col("o.t").alias("a"), F.col("o.k").alias("b"))
-    pair = F.xxhash64(F.lit(1), "cluster", F.least(low, high), F.greatest(low, high))
-    return one.unionByName(met.select("rep", "digest", "copies", pair.alias("task"), F.when(first, 0).otherwise(1).alias("side")))
+    pair = F.xxhash64(F.lit(1), "group", kind, F.least(low, high), F.greatest(low, high))
+    return one.unionByName(met.select("rep", "digest", "copies", "band", pair.alias("task"), F.when(first, 0).otherwise(1).alias("side")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = BLOCK) -> DataFrame:
@@ -208,10 +232,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, n
     sketch = scratch.write(docs.mapInArrow(trimmed(_sketch(n, bands, rows)), "doc_id long, digest binary, size long, bands array<long>"), "sketch")
     known = sketch.where("doc_id is not null and size > 0")
     reps = scratch.write(known.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "bands")).alias("r"), F.count("*").alias("copies")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.size").alias("size"), "copies", F.col("r.bands").alias("bands")), "reps")
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
+    buckets = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     # a table of its own, so that both sides of the join are plain shuffles, of which a skewed one can be split
-    hubs = scratch.write(buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub"), "hubs")
-    edges = buckets.join(hubs, "bucket").where("rep != hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    mark = F.xxhash64("rep")  # two sums over the members tell buckets of the same ones
+    hub = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.min("band").alias("band"), F.count("*").alias("m"), F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("mark"), F.bit_xor(mark).alias("cross"))
+    hubs = scratch.write(hub.where("m > 1"), "hubs")
+    edges = buckets.join(hubs.select("bucket", "hub"), "bucket").where("rep != hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     clusters = scratch.write(components(scratch, edges, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster"), "clusters")
     members = scratch.write(reps.select("rep", "digest", "size", "copies").join(clusters, "rep"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -219,25 +245,31 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, n
     if not sketch.groupBy("doc_id").count().where("count > 1").join(ids, "doc_id", "left_semi").isEmpty():
         grams = grams.dropDuplicates(["digest"])  # repeated rows
     grams = scratch.write(grams, "grams")
-    tasks = _tasks(members, threshold, block)
+    tasks = _tasks(scratch, _groups(scratch, members, buckets, hubs, block), threshold, block)
+    bands_of = reps.select("digest", F.col("bands").alias("all_bands"))
+    plain = tasks.where("band is null").withColumn("bands", F.lit(None).cast("array<long>"))
+    tasks = plain.unionByName(tasks.where("band is not null").join(bands_of, "digest").withColumnRenamed("all_bands", "bands"))
     dealt = tasks.join(grams, "digest").repartition("task").sortWithinPartitions("task")
-    found = scratch.write(dealt.select("task", "rep", "copies", "side", "grams").mapInArrow(trimmed(_verify(threshold)), "u long, v long, links long"), "found")
+    found = scratch.write(dealt.select("task", "rep", "copies", "side", "grams", "band", "bands").mapInArrow(trimmed(_verify(threshold)), "u long, v long, links long"), "found")
     scratch.settle()
     classes = components(scratch, found.where("v is not null").select("u", "v"), "classes")
     links = found.where("v is null and links > 0").groupBy("u").agg(F.sum("links").alias("links"))
     by_rep = reps.select("digest", "rep", "copies").join(links, reps.rep == links.u, "left").drop("u").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     by_rep = by_rep.select("digest", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    scratch.drop("hubs", "members", "grams")
+    scratch.drop("hubs", "members", "grams", "groups", "parts")
     linked = sketch.select("doc_id", F.when(F.expr("doc_id is not null and size > 0"), F.col("digest")).alias("digest")).join(by_rep, "digest", "left")
     return linked.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep_id", "doc_id").alias("rep_id"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each similarity class; all columns are kept.
-
-    Rows with a null doc_id stay; of several rows with one doc_id that is kept, all stay unless their text has a class with a
-    smaller id.
+    """``docs`` with one row of each similarity class: the smallest doc_id, of equal ids any one, a null id only if the class has no
+    other. All columns are kept. Rows are told apart by a number of their own, so null and repeated ids do no harm.
     """
-    gone = jaccard_join(spark, docs, **options).where("class_id < doc_id").select("doc_id").distinct()
-    gone = Scratch(spark, "duplicates").write(gone, "ids")
-    return docs.join(sized(gone), "doc_id", "left_anti")
+    scratch = Scratch(spark, "duplicates")
+    name = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = scratch.write(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = jaccard_join(spark, rows.select(F.col(name).alias("doc_id"), "text"), **options).where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    linked = scratch.write(rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")).join(found, "row"), "linked")
+    keeper = scratch.write(linked.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("k")).select("k.row"), "keepers")
+    gone = scratch.write(linked.join(keeper, "row", "left_anti").select(F.col("row").alias(name)), "gone")
+    return rows.join(sized(gone), name, "left_anti").drop(name)

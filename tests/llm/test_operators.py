@@ -414,3 +414,28 @@ def test_log_filter_never_undercounts():
     assert (f.counts(key) >= lm_bloom.expected(lm_bloom.quantise(count)) - 1e-9).all()
     assert (f.counts(r.integers(0, 1 << 63, 20000).astype(np.uint64)) > 0).mean() < 0.1
     assert (np.abs(np.log(lm_bloom.expected(lm_bloom.quantise(count)) / count)) < 0.36).all()
+
+
+def test_a_chain_of_buckets_is_compared_bucket_by_bucket(spark):
+    """Texts that each overlap the next one make one cluster of many buckets; only neighbours are alike enough."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    chain = [[word() for _ in range(300)]]
+    for _ in range(39):
+        chain.append([*chain[-1][25:], *(word() for _ in range(25))])
+    texts = [" ".join(w) for w in chain]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in chain]
+    links = Counter(x for i in range(40) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for x in (i, j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (3, 128):
+        got = by_id(ngram_join.jaccard_join(spark, df, block=block))
+        assert {i: got[i]["n_links"] for i in range(40)} == {i: links[i] for i in range(40)} and {x["class_id"] for x in got.values()} == {0}
+
+
+def test_deduplicate_keeps_one_row_of_a_class(spark, odd, none):
+    kept = [tuple(r) for r in ngram_join.deduplicate(spark, odd).collect()]
+    assert sorted(kept, key=str) == sorted([(7, "one two three four five six"), (8, None), (None, None), (7, "other words here")], key=str)
+    alone = spark.createDataFrame([(None, "a b c d e f", 1), (None, "a b c d e f", 2), (3, "other", 3)], "doc_id long, text string, row_0 int")
+    rows = ngram_join.deduplicate(spark, alone).collect()
+    assert len(rows) == 2 and {r["doc_id"] for r in rows} == {None, 3} and ngram_join.deduplicate(spark, alone).columns == alone.columns
+    assert ngram_join.deduplicate(spark, none).count() == 0
