@@ -7,7 +7,7 @@ query's k-th best so far goes, and exact products are computed for the survivors
 
 The queries are the stated set: they travel to the workers in blocks of bounded size, with a floor per query (the k-th best of a
 fixed-size probe of candidates, itself exact), and every candidate partition is read once per block. A partition emits at most
-k rows a query; a partially aggregated top-k joins them.
+k rows a query; a window with a group limit, applied before its shuffle too, joins them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import Scratch, trimmed, tune
@@ -70,12 +70,11 @@ class Best:
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
 
 
-def search(best: Best, q: np.ndarray, q_id: np.ndarray, coarse: list[np.ndarray], x: np.ndarray, x_id: np.ndarray) -> None:
-    """Offer all rows of ``x`` to all queries, coarse to fine."""
+def search(best: Best, q: np.ndarray, q_id: np.ndarray, coarse: list[np.ndarray], x: np.ndarray, x_id: np.ndarray, finer: list[np.ndarray]) -> None:
+    """Offer all rows of ``x`` to all queries, coarse to fine; ``coarse`` and ``finer`` are the segments of both, by level."""
     slack = 1e-9 * (np.abs(q).sum(1).max(initial=0) * np.abs(x).max(initial=0) + 1) + 1e-6
     qi = xi = None
-    for level, parts in enumerate(LEVELS):
-        fine = segments(x, parts)
+    for level, fine in enumerate(finer):
         if level == 0:
             qi, xi = np.nonzero(coarse[0] @ fine.T + slack >= best.floor[:, None])
         else:
@@ -119,11 +118,12 @@ def _partition(shared, k: int):
                     continue
                 q_id, q, _, coarse, best = g
                 for lo in range(0, len(ids), 512):
+                    finer = [segments(x[lo : lo + 512], p) for p in LEVELS] if q.shape[1] else []
                     for at in range(0, len(q_id), 2048):
                         part = slice(at, at + 2048)
                         if q.shape[1]:
                             view = Best(0, k, best.floor[part])
-                            search(view, q[part], q_id[part], [c[part] for c in coarse], x[lo : lo + 512], ids[lo : lo + 512])
+                            search(view, q[part], q_id[part], [c[part] for c in coarse], x[lo : lo + 512], ids[lo : lo + 512], finer)
                             best.add(view.query + at, view.score, view.id)
                         else:
                             a, b = np.nonzero(q_id[part][:, None] != ids[lo : lo + 512][None, :])
@@ -168,9 +168,10 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
             same = [j for j, v in enumerate(probe["embedding"]) if len(v) == d]
             if d and same:
                 x = _exact(np.array([probe["embedding"][j] for j in same], np.float64))
+                finer = [segments(x, p) for p in LEVELS]
                 for at in range(0, len(q_id), 256):
                     view = Best(0, k, best.floor[at : at + 256])
-                    search(view, q[at : at + 256], q_id[at : at + 256], [segments(q[at : at + 256], p) for p in LEVELS], x, probe["vec_id"].to_numpy()[same])
+                    search(view, q[at : at + 256], q_id[at : at + 256], [segments(q[at : at + 256], p) for p in LEVELS], x, probe["vec_id"].to_numpy()[same], finer)
                     best.add(view.query + at, view.score, view.id)
             shared.append((q_id, q, best.floor))
         part = candidates.mapInArrow(trimmed(_partition(spark.sparkContext.broadcast(shared), k)), "query_id long, vec_id long, score long")
@@ -178,10 +179,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         out = done if out is None else out.unionByName(done)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # at most k rows a query and partition meet here
-    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((F.lit(-1) - F.col("score")).alias("order"), "vec_id", "score"))), 1, k).alias("best"))
-    flat = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return flat.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    # at most k rows a query and partition; Spark cuts each partition's, and then each query's, to k before a whole window is seen
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _blocks(queries: DataFrame, limit: int) -> Iterator[list[tuple[int, list[float]]]]:
