@@ -11,16 +11,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import byte_list, chunked, expand, Scratch, sized, trimmed, tune, Words
+from quayside.llm.common import byte_list, chunked, distinct, expand, Scratch, trimmed, tune, Words
 
-#: Bytes of benchmark text that are sent to the workers at once; a longer benchmark takes several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are sent to the workers at once; a longer benchmark takes several passes. A worker holds some 50 bytes
+#: for each of its words.
+BLOCK_BYTES = 8 << 20
+#: Bytes of documents in a shard: the longer, the fewer searches for the whole benchmark.
+SHARD_BYTES = 1 << 20
 
 
 @dataclass
@@ -32,9 +36,20 @@ class Index:
     start: np.ndarray  # where each window starts in sequence
     length: np.ndarray  # its length
     item: np.ndarray  # the item it belongs to, as an index into ids
-    ids: list[str]
+    ids: list[str | None]
     need: np.ndarray  # by word number: the fewest words that a window starting with it has (0: none does)
 
+    @cached_property
+    def probes(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """By length of window: which windows, and their keys in order; built once by a worker for all its shards."""
+        out = []
+        for length in np.unique(self.length).tolist():
+            which = np.flatnonzero(self.length == length)
+            keys = _keys(self.sequence, self.start[which], length)
+            order = np.argsort(keys, kind="stable")
+            out.append((length, which[order], keys[order]))
+        return out
+
     @classmethod
     def build(cls, items: list[tuple[object, bytes]], n: int) -> Index | None:
         words = Words([text for _, text in items])
@@ -50,7 +65,7 @@ class Index:
         need = np.full(len(vocabulary) + 1, 1 << 30)
         np.minimum.at(need, sequence[start], length)
         need[need == 1 << 30] = 0
-        return cls(vocabulary, sequence, start, length, np.repeat(np.arange(len(items)), windows), [str(i) for i, _ in items], need)
+        return cls(vocabulary, sequence, start, length, np.repeat(np.arange(len(items)), windows), [None if i is None else str(i) for i, _ in items], need)
 
 
 def _keys(sequence: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -79,9 +94,7 @@ def search(index: Index, sequence: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         return none, none
     shard, keys = suffix_array(sequence, at, n)
     found = []
-    for length in np.unique(index.length):
-        which = np.flatnonzero(index.length == length)
-        probe = _keys(index.sequence, index.start[which], int(length))
+    for length, which, probe in index.probes:
         cut = keys if length == n else np.ascontiguousarray(keys.view("u1").reshape(len(keys), 4 * n)[:, : 4 * length]).view(f"S{4 * length}").ravel()
         lo, hi = np.searchsorted(cut, probe, "left"), np.searchsorted(cut, probe, "right")
         found.append((np.repeat(which, hi - lo), shard[expand(lo, hi - lo)]))
@@ -107,55 +120,81 @@ def _numbers(index: Index, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return sequence, words.first[:-1] + np.arange(len(words.count))
 
 
-def find(index: Index | None, docs: list[bytes], n: int) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
-    """For each document its number, its words and its longest matches (item, item word, document word, words)."""
-    for lo, hi in chunked(docs):
+@dataclass
+class Found:
+    """What one shard, the documents ``lo`` to ``hi``, holds of the benchmark: its longest matches, by document and place."""
+
+    lo: int
+    hi: int
+    words: np.ndarray  # words of each document
+    hit: np.ndarray  # words inside a match, of each document
+    doc: np.ndarray  # by match, from ``lo`` on
+    item: np.ndarray
+    doc_word: np.ndarray
+    size: np.ndarray
+
+
+def find(index: Index | None, docs: list[bytes], n: int, shard: int = SHARD_BYTES) -> Iterator[Found]:
+    """The documents shard by shard."""
+    none = np.zeros(0, np.int64)
+    for lo, hi in chunked(docs, shard):
         words = Words(docs[lo:hi])
-        hits: dict[int, list] = {}
-        if index is not None and len(words):
-            sequence, first = _numbers(index, words)
-            window, position = search(index, sequence, n)
-            size = longest(index, sequence, window, position)
-            place = index.start[window]
-            owner = np.searchsorted(first, position, "right") - 1
-            order = np.lexsort((position, place - position, index.item[window], owner))
-            last, reach = None, 0
-            for k in order:
-                doc, item = int(owner[k]), int(index.item[window[k]])
-                diagonal = (doc, item, int(place[k] - position[k]))
-                end = int(position[k] + size[k])
-                if diagonal == last and end <= reach:  # inside the match before it
-                    continue
-                last, reach = diagonal, end
-                hits.setdefault(doc, []).append((item, int(place[k]), int(position[k] - first[doc]), int(size[k])))
-        for d in range(hi - lo):
-            yield lo + d, int(words.count[d]), hits.get(d, [])
+        if index is None or not len(words):
+            yield Found(lo, hi, words.count, np.zeros(hi - lo, np.int64), none, none, none, none)
+            continue
+        sequence, first = _numbers(index, words)
+        window, position = search(index, sequence, n)
+        size = longest(index, sequence, window, position)
+        owner, item, diagonal = np.searchsorted(first, position, "right") - 1, index.item[window], index.start[window] - position
+        # windows of one match stand on one diagonal of item and document, and their matches end together
+        order = np.lexsort((position, diagonal, item, owner))
+        key = np.stack([owner, item, diagonal, position + size])[:, order]
+        order = order[np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])] if len(order) else order
+        position, size, owner, item = position[order], size[order], owner[order], item[order]
+        cover = np.bincount(position, minlength=len(sequence) + 1) - np.bincount(position + size, minlength=len(sequence) + 1)
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(cover)[: len(sequence)] > 0)])
+        yield Found(lo, hi, words.count, np.diff(inside[np.append(first, len(sequence))]), owner, item, position - first[owner], size)
 
 
 _SCHEMA = "doc_id long, row long, n_words long, matches array<struct<item_id:string,doc_word:long,words:long>>"
 
 
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("words", pa.int64())]))
+
+
 def _scan(shared, n: int, report: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            docs, ids = byte_list(batch.column(1)), batch.column(0)
-            counts, matches = [0] * len(docs), [[]] * len(docs)
-            for d, words, hits in find(index, docs, n):
-                counts[d] = words
-                matches[d] = [{"item_id": index.ids[i], "doc_word": p, "words": k} for i, _, p, k in hits]
-            if report:
-                yield _report(ids, pa.array(counts, pa.int64()), matches)
-                continue
-            kind = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(counts, pa.int64()), pa.array(matches, kind)], ["doc_id", "row", "n_words", "matches"])
+            for found in find(index, byte_list(batch.column(1)), n):
+                part = batch.slice(found.lo, found.hi - found.lo)
+                if report:
+                    items: dict[int, set] = {}
+                    pairs = distinct(found.doc * len(index.ids) + found.item) if index else found.doc
+                    for x in pairs.tolist():
+                        items.setdefault(x // len(index.ids), set()).add(index.ids[x % len(index.ids)])
+                    yield _report(part.column(0), found.words, found.hit, [items.get(d, ()) for d in range(found.hi - found.lo)])
+                    continue
+                matches: list[list] = [[] for _ in range(found.hi - found.lo)]
+                for d, i, place, k in zip(found.doc.tolist(), found.item.tolist(), found.doc_word.tolist(), found.size.tolist(), strict=True):
+                    matches[d].append({"item_id": index.ids[i], "doc_word": place, "words": k})
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.words, pa.int64()), pa.array(matches, _MATCHES)], ["doc_id", "row", "n_words", "matches"])
+
+    return run
+
+
+def _clean(shared, n: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [f.hit for f in find(shared.value, byte_list(batch.column(at)), n)]
+            yield batch.filter(pa.array(np.concatenate(hit) == 0)) if hit else batch
 
     return run
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[object, bytes]]]:
     block, size = [], 0
-    for item_id, text in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+    for item_id, text in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         data = text.encode()
         if block and size + len(data) > limit:
             yield block
@@ -173,8 +212,8 @@ def verbatim_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     array of (item_id, doc_word, words), each a run of document words, starting at word doc_word, that equals a run of the item,
     holds a window and can't be carried on.
 
-    Edge cases: null or empty texts have no words and no matches; items with a null id or text are left out; repeated items or
-    documents each count; an empty benchmark matches nothing; an empty table gives an empty result.
+    Edge cases: null or empty texts have no words and no matches; items with a null text are left out, those with a
+    null id are searched for and have a null item_id in matches; repeated items or documents each count; an empty benchmark matches nothing; an empty table gives an empty result.
     """
     return _matches(spark, docs, benchmark, n, block_bytes, False)
 
@@ -201,18 +240,10 @@ def _matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int,
     return out.select("doc_id", "n_words", "matches").mapInArrow(trimmed(_digest), _REPORT) if report else out
 
 
-def _report(doc_id: pa.Array, n_words: pa.Array, matches: list[list[dict]]) -> pa.RecordBatch:
-    hit, count, code = [], [], []
-    for found in matches:
-        reach = total = 0
-        for a, k in sorted((m["doc_word"], m["words"]) for m in found):
-            total += max(0, a + k - max(a, reach))
-            reach = max(reach, a + k)
-        items = sorted({m["item_id"] for m in found})
-        hit.append(total)
-        count.append(len(items))
-        code.append(hashlib.sha256(",".join(items).encode()).hexdigest())
-    return pa.RecordBatch.from_arrays([doc_id, n_words, pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(code, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _report(doc_id: pa.Array, words: np.ndarray, hit: np.ndarray, items: list) -> pa.RecordBatch:
+    code = [hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest() for found in items]
+    columns = [pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(code, pa.string()), pa.array(hit > 0)]
+    return pa.RecordBatch.from_arrays([doc_id, *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -220,16 +251,36 @@ _REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 str
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _report(batch.column(0), batch.column(1), batch.column(2).to_pylist())
+        hit, items = [], []
+        for found in batch.column(2).to_pylist():
+            reach = total = 0
+            for a, k in sorted((m["doc_word"], m["words"]) for m in found):
+                total += max(0, a + k - max(a, reach))
+                reach = max(reach, a + k)
+            hit.append(total)
+            items.append({m["item_id"] for m in found})
+        yield _report(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), np.array(hit, np.int64), items)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside a match), n_items, items_sha256 (of the sorted item ids, comma-joined)
-    and contaminated. See :func:`verbatim_matches`."""
+    """Per document: doc_id, n_words, n_hit (words inside a match), n_items (different item ids, null counting as one), items_sha256
+    (of the sorted item ids that aren't null, comma-joined) and contaminated. See :func:`verbatim_matches`."""
     return _matches(spark, docs, benchmark, n, block_bytes, True)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns are kept. Rows with a null doc_id stay."""
-    bad = Scratch(spark, "contaminated").write(contamination(spark, docs, benchmark, n, **options).where("contaminated and doc_id is not null").select("doc_id").distinct(), "ids")
-    return docs.join(sized(bad), "doc_id", "left_anti")
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark window, whatever their doc_id; all columns are kept. Each row is judged by
+    its own text, in the pass that reads it, once for each block of the benchmark."""
+    tune(spark)
+    blocks = _blocks(benchmark, block_bytes)
+    block, following, scratch, i = next(blocks), next(blocks, None), None, 0
+    while True:
+        shared = spark.sparkContext.broadcast(Index.build(block, n))
+        docs = docs.mapInArrow(trimmed(_clean(shared, n, docs.columns.index("text"))), docs.schema)
+        if following is None:
+            return docs
+        scratch = scratch or Scratch(spark, "decontam")
+        docs = scratch.write(docs, f"pass-{i}")  # what one block leaves is searched for the next
+        if i:
+            scratch.drop(f"pass-{i - 1}")
+        block, following, i = following, next(blocks, None), i + 1

@@ -165,6 +165,9 @@ def test_toxic_documents_go(spark):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     assert sum(truth[i] for i in kept) < 0.1 * sum(truth.values())
     assert sum(1 - truth[i] for i in kept) > 0.97 * sum(1 - x for x in truth.values())
+    mixed = spark.createDataFrame([(None, "abc zuxqo def"), (None, "abc def"), (5, "abc zuxqor"), (5, "abc def"), (6, None), (7, "")], "doc_id long, text string")
+    left = [tuple(r) for r in toxicity.drop_toxic(spark, mixed.unionByName(rows), labels).where("doc_id is null or doc_id in (5, 6, 7)").collect()]
+    assert (None, "abc def") in left and (5, "abc def") in left and (6, None) in left and (7, "") in left and not any("zuxqo" in (t or "") for _, t in left)
 
 
 def _covered(data, size):
@@ -218,7 +221,7 @@ def test_decontamination(spark, docs, texts, odd, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = defaultdict(set)
     for i, t in items:
-        if i is not None and (w := words(t)):
+        if w := words(t):
             for k in range(max(1, len(w) - 9)):
                 windows[tuple(w[k : k + 10])].add(i)
     for limit in (1 << 24, 50):
@@ -231,12 +234,16 @@ def test_decontamination(spark, docs, texts, odd, none):
                     if x := windows.get(tuple(w[k : k + n])):
                         found |= x
                         hit |= set(range(k, k + n))
-            code = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+            code = hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest()
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"], got[i]["contaminated"]) == (len(w), len(hit), len(found), code, bool(hit))
     first = by_id(decontam.verbatim_matches(spark, docs, bench))[0]["matches"]
     assert any(m["item_id"] == "0" and m["doc_word"] == 3 and m["words"] == len(words(items[0][1])) for m in first)
     clean = decontam.decontaminate(spark, docs, bench)
     assert {r["doc_id"] for r in clean.collect()} == {i for i in got if not got[i]["contaminated"]} and clean.columns == docs.columns
+    rows = decontam.decontaminate(spark, odd, spark.createDataFrame([(1, "two three four")], "item_id long, text string")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(8, None), (None, None), (7, "other words here")], key=str)
+    assert {r["doc_id"] for r in decontam.decontaminate(spark, docs, bench, block_bytes=50).collect()} == {r["doc_id"] for r in clean.collect()}
+    assert decontam.decontaminate(spark, none, bench).count() == 0 and decontam.decontaminate(spark, odd, bench.limit(0)).count() == 6
     assert decontam.contamination(spark, odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.contamination(spark, none, bench).count() == 0
 
