@@ -28,21 +28,55 @@ BROADCAST_ROWS = 500_000
 
 
 def tune(spark: SparkSession, megabytes: int = 2) -> None:
-    """Bound the Arrow batches that Python workers receive by bytes, as documents vary in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    """Bound the Arrow batches that Python workers receive by bytes, as documents vary in length by orders of magnitude. A bound that
+    the session has of its own is left. It stays set, since results are lazy plans that run later."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(1 << 26), "64MB", str((1 << 63) - 1), "-1"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+#: Folders of intermediate tables that this process has made.
+_folders: list[str] = []
+
+
+def scratch_folders() -> list[str]:
+    return list(_folders)
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove intermediate tables, when what was computed from them is written or no longer wanted."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _folders:
+            _folders.remove(folder)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
 
 
 class Scratch:
     """Intermediate tables of one operator call, in the folder that all executors share.
 
-    The folder is ``spark.checkpoint.dir``; a temporary one is used only where the session names none (tests). Tables are
-    plain Parquet, so they outlive lost executors and cut the lineage of what reads them.
+    The folder is ``spark.checkpoint.dir``; only where Spark runs in one process and names none (tests), a temporary one is used.
+    Tables are plain Parquet, so they outlive lost executors and cut the lineage of what reads them. Results are lazy plans over
+    them, so they stay until :func:`remove_folders`.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = os.path.join(tempfile.gettempdir(), "quayside")
         self.spark = spark
-        self.root = f"{(base or os.path.join(tempfile.gettempdir(), 'quayside')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _folders.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -50,11 +84,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+        remove_folders(self.spark, [f"{self.root}/{name}" for name in names])
 
     def settle(self) -> None:
         """Collect garbage on the driver: Spark removes the shuffle files of what is written only when their plans are collected,

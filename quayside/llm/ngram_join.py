@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm.common import byte_list, chunked, distinct, mix, Scratch, shingles, sized, trimmed, tune, U, Words
+from quayside.llm.common import byte_list, chunked, distinct, mix, Scratch, shingles, sized, trimmed, tune, U, unused, Words
 from quayside.llm.graph import components
 
 #: Representatives of a cluster that one task compares with each other or with another block.
@@ -266,7 +266,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     other. All columns are kept. Rows are told apart by a number of their own, so null and repeated ids do no harm.
     """
     scratch = Scratch(spark, "duplicates")
-    name = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = unused(docs, "row")
     rows = scratch.write(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
     found = jaccard_join(spark, rows.select(F.col(name).alias("doc_id"), "text"), **options).where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
     linked = scratch.write(rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")).join(found, "row"), "linked")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quayside.llm.common import _BYTE, BROADCAST_ROWS, byte_list, chunked, prefix_hash, Scratch, sized, span_hash, trimmed, tune, U
+from quayside.llm.common import _BYTE, BROADCAST_ROWS, byte_list, chunked, prefix_hash, Scratch, sized, span_hash, trimmed, tune, U, unused
 
 #: Different regions under one anchor hash that one task compares.
 GROUP = 192
@@ -373,19 +373,16 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch, min_b
     return out
 
 
-#: Added by the functions below; a column of this name in the input is replaced.
-ROW, SPANS = "__row", "__spans"
-
-
-def with_spans(spark: SparkSession, docs: DataFrame, min_bytes: int, group: int = GROUP) -> DataFrame:
-    """``docs`` with all its columns and ``__spans``; see :func:`suffix_spans`."""
+def with_spans(spark: SparkSession, docs: DataFrame, min_bytes: int, group: int = GROUP) -> tuple[DataFrame, str]:
+    """``docs`` with all its columns and one more, whose name comes back too: the spans of :func:`suffix_spans`."""
     tune(spark)
-    scratch = Scratch(spark, "suffix-dedup")
+    scratch, row = Scratch(spark, "suffix-dedup"), unused(docs, "row")
+    name = unused(docs, "spans")
     # a number for each row, so that repeated ids do no harm; written once, as it depends on how a scan splits files
-    rows = scratch.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    spans = repeated_spans(spark, rows.select(F.col(ROW).alias("row"), F.col("text").cast("string").alias("text")), scratch, min_bytes, group)
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    spans = repeated_spans(spark, rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), scratch, min_bytes, group)
     size = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return rows.drop(SPANS).join(sized(spans.select(F.col("row").alias(ROW), F.col("spans").alias(SPANS)), size, EXTENTS), ROW, "left").drop(ROW)
+    return rows.join(sized(spans.select(F.col("row").alias(row), F.col("spans").alias(name)), size, EXTENTS), row, "left").drop(row), name
 
 
 def suffix_spans(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, group: int = GROUP) -> DataFrame:
@@ -395,16 +392,16 @@ def suffix_spans(spark: SparkSession, docs: DataFrame, min_bytes: int = 400, gro
     Ranges are maximal, in order and apart. Edge cases: null and short texts have none (null spans); rows with a null or
     repeated doc_id count as texts of their own; an empty table gives an empty result.
     """
-    out = with_spans(spark, docs, min_bytes, group)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(SPANS).alias("spans"))
+    out, spans = with_spans(spark, docs.select("doc_id", "text"), min_bytes, group)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(spans).alias("spans"))
 
 
-def _keep(min_words: int, solid: int):
+def _keep(spans_name: str, min_words: int, solid: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, at = batch.schema.names, batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(SPANS)).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(spans_name)).to_pylist(), strict=True):
                 if spans:
                     data, out, last = text.encode(), [], 0
                     for s in spans:
@@ -415,8 +412,8 @@ def _keep(min_words: int, solid: int):
                     # a span may start or end inside a character; what is left of it goes
                     text = "".join(x.decode("utf-8", "ignore") for x in [*out, data[last:]])
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i, name in enumerate(names) if name != SPANS]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != SPANS])
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i, name in enumerate(names) if name != spans_name]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != spans_name])
 
     return run
 
@@ -428,13 +425,13 @@ def remove_passages(spark: SparkSession, docs: DataFrame, min_bytes: int = 101,
 
     All columns are kept; n_chars, if there, is set to the characters left in texts that changed. A text may become empty; no row goes.
     """
-    found = with_spans(spark, docs, min_bytes, group)
+    found, spans = with_spans(spark, docs, min_bytes, group)
     found = found.withColumn("text", F.col("text").cast("string"))
-    schema = StructType([f for f in found.schema.fields if f.name != SPANS])
-    touched = found.where(F.col(SPANS).isNotNull()).mapInArrow(trimmed(_keep(min_words, SOLID_BYTES)), schema)
+    schema = StructType([f for f in found.schema.fields if f.name != spans])
+    touched = found.where(F.col(spans).isNotNull()).mapInArrow(trimmed(_keep(spans, min_words, SOLID_BYTES)), schema)
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return found.where(F.col(SPANS).isNull()).drop(SPANS).unionByName(touched)
+    return found.where(F.col(spans).isNull()).drop(spans).unionByName(touched)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

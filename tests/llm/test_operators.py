@@ -212,6 +212,9 @@ def test_passages_go_and_clean_texts_stay(spark, odd, none, docs, texts):
     passage = texts[0].split("\n")[1]
     assert all(passage not in (r["text"] or "") for r in got.values())
     assert got[len(texts) - 1]["text"] == texts[-1] and got[4]["text"] == texts[4]
+    names = suffix_dedup.remove_passages(spark, docs.withColumn("row_", docs.doc_id).withColumn("__row", docs.doc_id).withColumn("__spans", docs.doc_id))
+    assert names.columns == [*docs.columns, "row_", "__row", "__spans"] and names.where("not (row_ <=> doc_id and __row <=> doc_id and __spans <=> doc_id)").count() == 0
+    assert suffix_dedup.remove_passages(spark, none).count() == 0 and ngram_join.deduplicate(spark, none).count() == 0
     assert suffix_dedup.dedup_report(spark, odd, 10).count() == 6
     assert suffix_dedup.dedup_report(spark, none).count() == 0
 
@@ -272,6 +275,7 @@ def test_bpe_equals_the_library(spark, docs, texts, odd, none):
     assert all(back[i]["text"] == (t or "") for i, t in enumerate(texts))
     assert bpe.bpe_round_trip(spark, odd, queries.VOCABULARY).count() == 6
     assert bpe.bpe_encode(spark, none, queries.VOCABULARY).count() == 0
+    assert bpe.bpe_decode(spark, bpe.bpe_encode(spark, none, queries.VOCABULARY), queries.VOCABULARY).count() == 0
 
 
 def test_top_k(spark):
@@ -446,3 +450,58 @@ def test_deduplicate_keeps_one_row_of_a_class(spark, odd, none):
     rows = ngram_join.deduplicate(spark, alone).collect()
     assert len(rows) == 2 and {r["doc_id"] for r in rows} == {None, 3} and ngram_join.deduplicate(spark, alone).columns == alone.columns
     assert ngram_join.deduplicate(spark, none).count() == 0
+
+
+def test_suffix_dedup_of_files(spark, tmp_path, texts):
+    """From files, as the queries read them, in many small splits."""
+    rows = [(i, t) for i, t in enumerate(texts) if len(t or "") < 20000]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(f"{tmp_path}/docs")
+    got = by_id(suffix_dedup.dedup_report(spark, spark.read.parquet(f"{tmp_path}/docs"), 60))
+    data = [(t or "").encode() for _, t in rows]
+    for (i, _), t, c in zip(rows, data, _covered(data, 60), strict=True):
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (sum(c), hashlib.sha256(bytes(x for x, y in zip(t, c, strict=True) if not y)).hexdigest())
+
+
+def test_toxicity_scores_equal_brute_force():
+    """The score of a text from the vectors: every word the mean of its n-grams' vectors, every three words their mean, the highest logit."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcéd") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 12))) for _ in range(60)] + ["", "!!", "Ab"]
+    labels = np.array([int("abc" in t) for t in texts])
+    model = toxicity.fit(texts, labels, (2, 2))
+    bag = toxicity.bags(texts)
+    got = toxicity.score(model.weight.astype(float), model.offset, model.prior, texts)
+    for i, t in enumerate(texts):
+        vectors = [model.vectors[bag.grams[bag.at[w] : bag.at[w + 1]]].astype(float).mean(0) for w in bag.word[bag.first[i] : bag.first[i + 1]]]
+        if not vectors:
+            assert got[i] == model.prior
+            continue
+        width = min(3, len(vectors))
+        logits = [np.mean(vectors[k : k + width], 0) @ model.softmax.astype(float) + model.bias for k in range(len(vectors) - width + 1)]
+        assert got[i] == pytest.approx(max(1 / (1 + math.exp(a - b)) for a, b in logits), abs=1e-4)
+    edged = [[f" {w} "[k : k + n] for n in (3, 4, 5) for k in range(len(w) + 2 - n + 1)] for w in texts[0].split()]
+    assert [int(bag.at[w + 1] - bag.at[w]) for w in bag.word[: bag.first[1]]] == [len(x) for x in edged]
+
+
+def test_quality_scores_equal_brute_force():
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(0, 1, (70, 5)), r.normal(1, 2, (50, 5))])
+    y = np.array([0] * 70 + [1] * 50)
+    model = quality.Discriminant.fit(x, y, np.array([0.6, 0.4]), pool=0.3, sphere=0.05)
+    z = (x - x.mean(0)) / x.std(0)
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (70 * own[0] + 50 * own[1]) / 120
+    log = []
+    for c in (0, 1):
+        s = 0.7 * own[c] + 0.3 * pooled
+        s = 0.95 * s + 0.05 * np.trace(s) / 5 * np.eye(5)
+        d = z - z[y == c].mean(0)
+        log.append(np.log([0.6, 0.4][c]) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(model.logit(x), log[1] - log[0])
+
+
+def test_sharding_cuts_fewer_links_than_chance(spark):
+    """Links between copies whose ends lie in different shards, against those of a random assignment of the same sizes."""
+    rows = [(i, f"text {i % 300}") for i in range(1500)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), shards=6).collect()}
+    pairs = [(i, i + 300 * k) for i in range(300) for k in range(1, 5)]
+    assert sum(got[a] != got[b] for a, b in pairs) < 0.1 * len(pairs)  # 5 in 6 by chance
