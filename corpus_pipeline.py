@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import bpe, decontam, ngram_join, suffix_dedup, toxicity
-from quayside.llm.common import Scratch
+from quayside.llm.common import remove_folders, Scratch, scratch_folders
 from quayside.llm.queries import VOCABULARY
 
 
@@ -15,7 +15,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each class of five-word shingle similarity 0.8 or more."""
+    """One row, the smallest id, of each class of five-word shingle similarity 0.8 or more."""
     return ngram_join.deduplicate(spark, docs)
 
 
@@ -44,7 +44,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table ``documents``, each written and read again."""
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        known = scratch_folders()
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        remove_folders(spark, [f for f in scratch_folders() if f not in known])  # the stage's own, now that its result is written
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
