@@ -19,8 +19,8 @@ from quayside.llm.common import Scratch, sized
 
 #: Priority classes of a round's moves.
 BUCKETS = 1024
-#: Rows that are ranked together.
-RANKED = 500
+#: Rows that are ranked together, and buckets of so many rows whose sizes are summed up together.
+RANKED, RANGE = 500, 4096
 
 
 def propagate(spark: SparkSession, scratch: Scratch, cells: DataFrame, shards: int, quota: int, rounds: int = 10) -> DataFrame:
@@ -91,8 +91,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, roun
     spread = F.when(F.col("class") == 2, F.xxhash64("cell", "doc_id")).otherwise(F.xxhash64("cell"))
     placed = scratch.write(placed.withColumn("bucket", F.pmod(spread, F.lit(wide))), "placed")
     counts = placed.groupBy("shard", "class", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = scratch.write(counts.withColumn("before", before), "offsets")
+    # prefix sums in two levels: over ranges of buckets in a shard, and over the buckets of a range
+    earlier = lambda rows, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*rows).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = scratch.write(counts.withColumn("range", F.floor(F.col("bucket") / RANGE)), "counts")
+    ranges = counts.groupBy("shard", "class", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("shard", "class", "range", earlier(["shard"], "class", "range").alias("sum"))
+    offsets = counts.withColumn("inside", earlier(["shard", "class", "range"], "bucket")).join(ranges, ["shard", "class", "range"])
+    offsets = scratch.write(offsets.select("shard", "class", "bucket", "n", (F.col("sum") + F.col("inside")).alias("before")), "offsets")
     inside = F.row_number().over(Window.partitionBy("shard", "class", "bucket").orderBy("cell", "doc_id")) - 1
     ranked = placed.withColumn("inside", inside).join(sized(offsets.drop("n")), ["shard", "class", "bucket"]).withColumn("place", F.col("before") + F.col("inside"))
     held = {r["shard"]: r["n"] for r in offsets.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
