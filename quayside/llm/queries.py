@@ -97,6 +97,22 @@ copies AS (SELECT text, min(doc_id) AS rep_id FROM d WHERE len(w) > 0 GROUP BY t
 SELECT d.doc_id, class.class_id, COALESCE(n_links, 0) AS n_links, CASE WHEN len(w) > 0 THEN rep_id ELSE d.doc_id END AS rep_id
 FROM d JOIN class USING (doc_id) LEFT JOIN degree USING (doc_id) LEFT JOIN copies ON copies.text = d.text"""
 
+#: All 400-byte windows, in hexadecimal, so that bytes can be cut as characters.
+_OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 399)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+step AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM step),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, a, b, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS before
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+  sha256(unhex(COALESCE(before, '') || substr(h, 2 * COALESCE(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
 _OP5 = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 d AS (SELECT doc_id, {_WORDS.replace("(text,", "(COALESCE(text, ''),")} AS w FROM documents),
@@ -121,7 +137,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_ngram_jaccard_join": _OP1, "op2_chat_formatting": chat_format.ORACLE, "op5_benchmark_decontamination": _OP5, "op7_topk_search": _OP7}
+    out = {"op1_ngram_jaccard_join": _OP1, "op2_chat_formatting": chat_format.ORACLE, "op4_suffix_array_dedup": _OP4, "op5_benchmark_decontamination": _OP5, "op7_topk_search": _OP7}
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
