@@ -20,8 +20,6 @@ from quayside.llm.common import _BYTE, byte_list, chunked, prefix_hash, remainde
 from quayside.llm.toxicity import known_labels
 
 FEATURES = ["length", "upper", "digit", "beyond", "space", "stop", "mark", "symbol", "bar", "other", "word_length", "distinct", "echo", "top", "line_length", "line_repeat"]
-#: Bound of the sample that the densities are fitted on: labelled rows of each class.
-ROWS_PER_CLASS = 20_000
 
 _KIND = np.zeros(256, np.int64)
 _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3
@@ -87,15 +85,25 @@ class Discriminant:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, shares: np.ndarray, pool: float = 0.3, sphere: float = 0.05) -> Discriminant:
-        """``pool``: the part of the pooled covariance in each class's; ``sphere``: the part of a multiple of the identity. A
-        class of n rows leans on the pooled one by at least k / (n + k), k being the number of features."""
-        centre, scale = x.mean(0), x.std(0)
-        scale[scale < 1e-9] = 1.0
-        z = (x - centre) / scale
-        k = z.shape[1]
-        means = [z[y == c].mean(0) for c in (0, 1)]
-        own = [np.cov(z[y == c].T, bias=True) if (y == c).sum() > 1 else np.zeros((k, k)) for c in (0, 1)]
-        n = np.array([(y == 0).sum(), (y == 1).sum()])
+        """From rows; see :meth:`of`."""
+        parts = [x[y == c] for c in (0, 1)]
+        return cls.of([(len(p), p.sum(0), p.T @ p) for p in parts], shares, pool, sphere)
+
+    @classmethod
+    def of(cls, moments: list[tuple[int, np.ndarray, np.ndarray]], shares: np.ndarray, pool: float = 0.3, sphere: float = 0.05) -> Discriminant:
+        """From each class's rows, sums and sums of products, which are all that the densities need. ``pool``: the part of the pooled
+        covariance in each class's; ``sphere``: the part of a multiple of the identity. A class of n rows leans on the pooled one by
+        at least k / (n + k), k being the number of features."""
+        n = np.array([m[0] for m in moments])
+        k = len(moments[0][1])
+        centre = sum(m[1] for m in moments) / n.sum()
+        scale = np.sqrt(np.maximum(np.diag(sum(m[2] for m in moments)) / n.sum() - centre**2, 0))
+        scale[scale < 1e-9 * np.maximum(1, np.abs(centre))] = 1.0
+        means, own = [], []
+        for size, total, square in moments:
+            mean = total / size
+            means.append((mean - centre) / scale)
+            own.append((square / size - np.outer(mean, mean)) / np.outer(scale, scale))
         pooled = (own[0] * n[0] + own[1] * n[1]) / n.sum()
         factors = []
         for c in (0, 1):
@@ -121,6 +129,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "held_out", "x"])
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each class that a partition has: its label, rows, sums and sums of products, in one array."""
+    k = len(FEATURES)
+    held = np.zeros((2, 1 + k + k * k))
+    for batch in batches:
+        y = batch.column(0).to_numpy(zero_copy_only=False)
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        for c in (0, 1):
+            part = x[y == c]
+            held[c] += np.concatenate([[len(part)], part.sum(0), (part.T @ part).ravel()])
+    some = [c for c in (0, 1) if held[c, 0]]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([held[c].tolist() for c in some], pa.list_(pa.float64()))], ["label", "sums"])
+
+
 def _score(model: Discriminant | None, constant: float, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,12 +159,12 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(trimmed(_features), "doc_id long, held_out boolean, x array<double>")
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, per_class: int = ROWS_PER_CLASS) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """Quality of every whole text of ``docs`` (doc_id, text) as ``labels`` (doc_id, quality) marks it.
 
     Returns one row per input row: doc_id, held_out (crc32 of the id as text is divisible by 5; such labels are never learnt),
-    score (probability of label 1) and predicted (score >= ``threshold``). The densities are fitted on the statistics of at most
-    ``per_class`` labelled rows a class, the first by a hash of the id; scoring covers all rows.
+    score (probability of label 1) and predicted (score >= ``threshold``). The densities are fitted on all labelled rows: a partition
+    sums up their statistics and products, and only these sums are added up and sent to the driver.
 
     Edge cases: a null or empty text has the statistics of an empty text and is scored like any; without labels of both classes
     every score is the share of label 1 (0.5 without labels); a null doc_id is not held out; an empty table gives an empty result.
@@ -152,10 +174,14 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     features = scratch.write(document_statistics(docs), "features")
     known = known_labels(labels.select(F.col("doc_id").cast("long").alias("doc_id"), label), label)
     there = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rows = features.where("not held_out").join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", "x")
-    picked = [r for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy("h", "doc_id", "x").limit(per_class).select("label", "x").collect()]
-    y = np.array([r["label"] for r in picked], np.int64)
-    both = 0 < y.sum() < len(y)
+    k = len(FEATURES)
+    sums = features.where("not held_out").join(known, "doc_id").select("label", "x").mapInArrow(trimmed(_moments), "label int, sums array<double>")
+    added = sums.select("label", F.posexplode("sums").alias("at", "v")).groupBy("label", "at").agg(F.sum(F.col("v").cast("decimal(28,12)")).alias("v")).collect()  # 273 numbers a class; in decimals, whose sum has no order
+    flat = np.zeros((2, 1 + k + k * k))
+    for r in added:
+        flat[r["label"], r["at"]] = float(r["v"])
+    moments = [(int(f[0]), f[1 : 1 + k], f[1 + k :].reshape(k, k)) for f in flat]
+    both = bool(flat[:, 0].all())
     total = sum(there.values())
-    model = Discriminant.fit(np.array([r["x"] for r in picked]), y, np.array([there[0], there[1]]) / total) if both else None
+    model = Discriminant.of(moments, np.array([there[0], there[1]]) / total) if both else None
     return features.mapInArrow(trimmed(_score(model, there.get(1, 0) / total if total else 0.5, threshold)), "doc_id long, held_out boolean, score double, predicted int")
