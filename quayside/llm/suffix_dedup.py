@@ -55,8 +55,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values if have == width else np.minimum(values[: len(values) - (width - have)], values[width - have :])
 
 
-def anchors(docs: list[bytes], size: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text with a window: its number and its anchors' hashes and places, and the first and last window start of each."""
+#: A 64-bit value for every two bytes in a row, for a second hash that is independent of the bytes' own.
+_PAIR = np.random.default_rng(20240307).integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
+
+
+def anchors(docs: list[bytes], size: int, gram: int, digests: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """Chunk by chunk, for every anchor of the texts that have a window: the text's number, the anchor's hash and place, the bytes
+    before it and from it on that its windows span, and a digest of that region (none unless ``digests``)."""
     span = size - gram + 1
     some = [i for i, x in enumerate(docs) if len(x) >= size]
     for lo, hi in chunked([docs[i] for i in some]):
@@ -70,41 +75,42 @@ def anchors(docs: list[bytes], size: int, gram: int) -> Iterator[tuple[int, np.n
         key = (hashes >> bits << bits) | at.astype(np.uint64)  # the smallest hash, the leftmost of equal ones
         owner = (_least(key, span) & ((U(1) << bits) - U(1))).astype(np.int64)  # by window start
         start = np.ones(len(data), bool)
-        for a, b in zip(first[:-1], first[1:], strict=True):
+        for b in first[1:]:
             start[b - size + 1 : b] = False  # windows that would leave the text
         window = np.flatnonzero(start[: len(owner)])
         own = owner[window]
         cut = np.flatnonzero(np.diff(own, prepend=-1) != 0)
-        head, tail = window[cut], window[np.append(cut[1:], len(window)) - 1]
+        place, head, tail = own[cut], window[cut], window[np.append(cut[1:], len(window)) - 1]
         text = np.searchsorted(first, head, "right") - 1
-        edges = np.searchsorted(text, np.arange(len(part) + 1))
-        for k, i in enumerate(part):
-            s = slice(edges[k], edges[k + 1])
-            yield i, hashes[own[cut][s]], own[cut][s] - first[k], head[s] - first[k], tail[s] - first[k]
+        digest = None
+        if digests:
+            pairs = prefix_hash(_PAIR[data[:-1].astype(np.int64) * 256 + data[1:]])
+            digest = span_hash(pairs, head, tail + size - 1).view(np.int64)
+        yield np.array(part)[text], hashes[place].view(np.int64), place - first[text], place - head, tail + size - place, digest
 
 
-def _anchor_rows(size: int, gram: int):
+def _anchor_hashes(size: int, gram: int):
+    """The hash of every anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, docs = batch.column(0).to_numpy(zero_copy_only=False), byte_list(batch.column(1))
-            out: list[list] = [[], [], [], [], [], []]
-            for i, hashes, place, head, tail in anchors(docs, size, gram):
-                text = docs[i]
-                for k, x in enumerate((hashes.view(np.int64), np.full(len(place), rows[i]), place, place - head, tail + size - place)):
-                    out[k].append(x)
-                out[5] += [int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8).digest(), "big", signed=True) for a, b in zip(head.tolist(), (tail + size).tolist(), strict=True)]
-                if len(out[5]) >= 1 << 16:
-                    yield _batch(out)
-                    out = [[], [], [], [], [], []]
-            if out[5]:
-                yield _batch(out)
+            for _, hashes, *_ in anchors(byte_list(batch.column(0)), size, gram, False):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes)], ["anchor"])
 
     return run
 
 
-def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), k) for x, k in zip(out, kinds, strict=False)), pa.array(out[5], pa.int64())], ["anchor", "row", "place", "before", "behind", "digest"])
+def _anchor_rows(size: int, gram: int):
+    """A row for every anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            for text, hashes, place, before, behind, digest in anchors(byte_list(batch.column(1)), size, gram):
+                columns = [pa.array(hashes), pa.array(rows[text]), pa.array(place), pa.array(before, pa.int32()), pa.array(behind, pa.int32()), pa.array(digest)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "row", "place", "before", "behind", "digest"])
+
+    return run
 
 
 # --- the interval tree ----------------------------------------------------------------------------------------------
@@ -342,11 +348,15 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch, min_b
     bytes that also starts elsewhere in the table."""
     gram = max(1, min_bytes * 2 // 5)
     texts = rows.select("row", "text")
-    found = scratch.write(texts.where(F.octet_length("text") >= min_bytes).mapInArrow(trimmed(_anchor_rows(min_bytes, gram)), "anchor long, row long, place long, before int, behind int, digest long"), "anchors")
-    # a table of its own, so that both sides of the join are plain shuffles, of which a skewed one can be split
-    often = scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
+    long = texts.where(F.octet_length("text") >= min_bytes)
+    # anchors are found twice, first to count them, as the few that stand twice are all that is worth a table; it is one of its own,
+    # so that both sides of the join are plain shuffles, of which a skewed one can be split
+    hashes = long.select("text").mapInArrow(trimmed(_anchor_hashes(min_bytes, gram)), "anchor long")
+    often = scratch.write(hashes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
+    scratch.settle()
+    found = long.mapInArrow(trimmed(_anchor_rows(min_bytes, gram)), "anchor long, row long, place long, before int, behind int, digest long")
     shared = scratch.write(found.join(often, "anchor", "left_semi"), "shared")
-    scratch.drop("anchors", "often")
+    scratch.drop("often")
     scratch.settle()
     one = F.min(F.struct("row", "place", "before", "behind")).alias("one")
     regions = scratch.write(shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), one).select("anchor", "digest", "n", "one.*"), "regions")
