@@ -3,7 +3,8 @@
 Texts are cut into words on whole arrays of code points; the distinct words of a batch are laid out in one symbol array, and an
 index maps each adjacent pair to all its positions there. Pairs are applied in ascending rank: one step merges every occurrence
 of a pair in the batch, and the pairs that arise or vanish to its left and right update the index. Encoded words are kept
-within a task, up to a bound, so a frequent word is merged once.
+within a task, up to a bound, so a frequent word is merged once. Words are told apart by 64-bit hashes: among the million words that a
+task holds at most, two agree with a chance of about 3 in 10**8.
 """
 
 from __future__ import annotations
