@@ -49,10 +49,7 @@ def truncated(value: Column) -> Column:
     return value.cast("bigint")
 
 
-#: Added before rounding: means of few amounts end in an exact 5 that the order of a sum would tip either way.
-NUDGE = 3.14159e-8
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All double columns rounded, since sums of doubles depend on their order."""
-    return df.select(*(F.round(F.col(name) + NUDGE, digits).alias(name) if kind == "double" else F.col(name) for name, kind in df.dtypes))
+    """All double columns rounded, half away from zero. Sums of doubles depend on their order in the last bits, so values are first cut to
+    two more digits: a mean of few amounts that ends in an exact 5 is one then, whatever the order."""
+    return df.select(*(F.round(F.round(F.col(name), digits + 2), digits).alias(name) if kind == "double" else F.col(name) for name, kind in df.dtypes))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: Stated here once more and not taken from the engine, which this SQL is to check.
 DAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
-FLEETS, MIN_TRIPS, NUDGE = (5, 10, 20, 40), 100, 3.14159e-8
+FLEETS, MIN_TRIPS = (5, 10, 20, 40), 100
 
 _PLACE = "zone_id, zone_name, borough, service_zone, is_airport"
 _RPH = "SUM(revenue) / NULLIF(SUM(driver_hours), 0)"
@@ -347,6 +347,6 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (more, select) in _SELECTS.items():
         tables = f"{_TABLES}{more}".strip().rstrip(",")
-        rounding = ", ".join(f"round({c} + {NUDGE}, 6) AS {c}" for c in DOUBLES.get(name, "").split())
+        rounding = ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38, 8)), 6) AS DOUBLE) AS {c}" for c in DOUBLES.get(name, "").split())
         out[name] = f"WITH {tables}\n" + (f", out AS ({select}) SELECT * REPLACE ({rounding}) FROM out" if rounding else select)
     return out
